@@ -10,7 +10,7 @@ decimal inputs produce at 6 or 7 places).
 
 from __future__ import annotations
 
-from stationlake.schema import ROLLUP_STATS
+from stationlake.schema import AGGREGATABLE_FIELDS, ROLLUP_STATS, raw_schema
 
 # Fields of the readings view, in rollup column order.
 READING_FIELDS = [
@@ -80,8 +80,203 @@ def rollup_sql(interval: str, source_sql: str = READINGS_SQL,
     return (f"WITH {', '.join(ctes)}\nSELECT {', '.join(cols)}\nFROM s\n" + "\n".join(joins))
 
 
+
+READING_COLUMNS = ['"timestamp"', "PASSKEY", "seq", "stationtype"] + READING_FIELDS
+
+
+def _readings_cols(sql: str = READINGS_SQL) -> str:
+    return f"SELECT {', '.join(READING_COLUMNS)} FROM ({sql}) r0"
+
+
+def aligned_sql(source: str = READINGS_SQL, where: str = "") -> str:
+    """The readings in the 43-column raw schema, absent columns typed null."""
+    have = set(READING_FIELDS) | {"timestamp", "PASSKEY", "stationtype"}
+    cols = []
+    for f in raw_schema().fields:
+        if f.name in have:
+            cols.append(f'"{f.name}"')
+        else:
+            typ = "VARCHAR" if f.dataType.simpleString() == "string" else "DOUBLE"
+            cols.append(f'CAST(NULL AS {typ}) AS "{f.name}"')
+    return f"SELECT {', '.join(cols)} FROM ({source}) a0 {where}"
+
+
+# Events with the props key and the value in hundredths.
+EV = """SELECT event_id, ts, user_id, event_type, value,
+               json_extract_string(props, '$.k') AS k,
+               CAST(round(value * 100.0) AS BIGINT) AS c
+        FROM events"""
+
+
+def _cents_text(expr: str) -> str:
+    return f"(CAST(({expr}) // 100 AS VARCHAR) || '.' || lpad(CAST(({expr}) % 100 AS VARCHAR), 2, '0'))"
+
+
+# The reports as a station would have sent them, field by field.
+REP = f"""SELECT event_id, ts, user_id, event_type, k, c,
+  CASE WHEN event_type = 'click' AND k = '0' THEN NULL ELSE 'PK' || CAST(user_id AS VARCHAR) END AS PASSKEY,
+  'Easy Weather ' || event_type AS stationtype,
+  CASE WHEN event_type = 'view' AND k = '0' THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS dateutc,
+  CASE WHEN event_type = 'error' THEN 'not-a-number' ELSE {_cents_text('2000 + c % 9000')} END AS tempf_text
+FROM ({EV}) e"""
+
+STATION_HASH = ("'pbkdf2_sha256$600000$' || substr(sha256('salt' || CAST({eid} AS VARCHAR)), 1, 32)"
+                " || '$' || sha256('PK' || CAST({uid} AS VARCHAR))")
+
+ST = f"""SELECT event_id AS ordinal, user_id,
+  'station ' || CAST(user_id AS VARCHAR) || ' #' || CAST(event_id AS VARCHAR) AS title,
+  {STATION_HASH.format(eid='event_id', uid='user_id')} AS salted_station_hash,
+  sha256('stationlake:PK' || CAST(user_id AS VARCHAR)) AS passkey_digest
+FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-04 00:00:00'"""
+
+FIRST_ST = f"SELECT user_id, arg_min(salted_station_hash, ordinal) AS station_id FROM ({ST}) s GROUP BY user_id"
+
+ENDPOINT_CASE = """CASE event_type
+  WHEN 'view' THEN '/data/{station_id}/{data_type}/current'
+  WHEN 'click' THEN '/data/{station_id}/{data_type}/range'
+  WHEN 'signup' THEN '/ws/{station_id}/{data_type}'
+  WHEN 'error' THEN '/storage/status'
+  WHEN 'purchase' THEN '*' END"""
+
+# Scope entries after migration: one row per (user, station reference).
+SCOPE_RES = f"""WITH g AS (
+  SELECT user_id, event_id,
+         CASE WHEN event_type = 'purchase' AND value > 300.0 THEN '*' ELSE 'PK' || k END AS station
+  FROM ({EV}) e),
+sref AS (SELECT user_id, station, min(event_id) AS first FROM g GROUP BY user_id, station)
+SELECT s.user_id, s.station, s.first,
+  CASE WHEN s.station = '*' OR starts_with(s.station, 'pbkdf2_sha256$') THEN s.station
+       ELSE coalesce(f.station_id, s.station) END AS v,
+  (s.station <> '*' AND NOT starts_with(s.station, 'pbkdf2_sha256$') AND f.station_id IS NULL) AS bad
+FROM sref s LEFT JOIN ({FIRST_ST}) f ON s.station = 'PK' || CAST(f.user_id AS VARCHAR)"""
+
+ACCEPTED = f"""SELECT f.station_id FROM ({REP}) r JOIN ({FIRST_ST}) f ON r.user_id = f.user_id
+  WHERE r.PASSKEY IS NOT NULL AND r.dateutc IS NOT NULL AND r.event_type <> 'error'"""
+
+
+def _feed_part(interval: str) -> str:
+    unit = _TRUNC[interval]
+    return f"""SELECT '{interval}' AS data_type, r.PASSKEY, date_trunc('{unit}', r."timestamp") AS "timestamp",
+         count(*) AS sample_count, ROUND(avg(r.tempf), 9) AS tempf
+  FROM r JOIN (SELECT PASSKEY, date_trunc('{unit}', max("timestamp")) AS b FROM r GROUP BY PASSKEY) m
+    ON r.PASSKEY = m.PASSKEY AND date_trunc('{unit}', r."timestamp") = m.b
+  GROUP BY r.PASSKEY, date_trunc('{unit}', r."timestamp")"""
+
+
 ORACLE: dict[str, str] = {
     "rollup_1m": rollup_sql("1m"),
     "rollup_1h": rollup_sql("1h"),
     "rollup_1d": rollup_sql("1d"),
+    "rollup_wide": rollup_sql("1d", aligned_sql(), fields=AGGREGATABLE_FIELDS),
+    "form_decode": f"""SELECT event_id, PASSKEY, stationtype, dateutc, tempf_text AS tempf, k AS humidity,
+        'WS2900 V2.01' AS model,
+        CAST(10 - (CASE WHEN PASSKEY IS NULL THEN 1 ELSE 0 END)
+                - (CASE WHEN dateutc IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_keys
+      FROM ({REP}) r""",
+    "typed_reports": f"""SELECT event_id, PASSKEY, stationtype,
+        CASE WHEN dateutc IS NULL THEN NULL ELSE CAST(date_trunc('second', ts) AS TIMESTAMP) END AS dateutc,
+        CASE WHEN event_type = 'error' THEN NULL ELSE CAST(2000 + c % 9000 AS DOUBLE) / 100.0{_D} END AS tempf,
+        CAST(k AS DOUBLE) AS humidity, CAST(k AS DOUBLE) AS winddir,
+        CAST(29000 + c % 1000 AS DOUBLE) / 1000.0{_D} AS baromrelin,
+        CAST(c AS DOUBLE) / 100.0{_D} AS windspeedmph,
+        '868M' AS freq, 'WS2900 V2.01' AS model,
+        CASE WHEN event_type = 'error' THEN 'tempf' ELSE '' END AS invalid_fields
+      FROM ({REP}) r""",
+    "parse_times": """SELECT event_id,
+        CAST(date_trunc('second', ts) AS TIMESTAMP) AS dateutc_std,
+        CAST(date_trunc('second', ts) AS TIMESTAMP) AS dateutc_unpadded,
+        CAST(NULL AS TIMESTAMP) AS dateutc_t,
+        CAST(NULL AS TIMESTAMP) AS dateutc_bad,
+        ts AS iso_z,
+        CAST(date_trunc('second', ts) AS TIMESTAMP) AS iso_offset,
+        CAST(date_trunc('second', ts) AS TIMESTAMP) AS iso_naive,
+        CAST(date_trunc('day', ts) AS TIMESTAMP) AS iso_date,
+        CAST(NULL AS TIMESTAMP) AS iso_bad
+      FROM events""",
+    "rejected_reports": f"""SELECT event_id, reject_reason FROM (
+        SELECT r.event_id,
+          CASE WHEN r.PASSKEY IS NULL THEN 'missing PASSKEY'
+               WHEN f.station_id IS NULL THEN 'unknown station'
+               WHEN r.dateutc IS NULL THEN 'missing dateutc'
+               WHEN r.event_type = 'error' THEN 'invalid number: tempf' END AS reject_reason
+        FROM ({REP}) r LEFT JOIN ({FIRST_ST}) f ON r.user_id = f.user_id) x
+      WHERE reject_reason IS NOT NULL""",
+    "to_metric": _readings_cols(),
+    "unit_functions": f"""SELECT seq,
+        windspeedmph * 1.609344{_D} AS windspeed_kmh,
+        windspeedmph * 0.44704{_D} AS windspeed_ms,
+        baromrelin * 33.86388640341{_D} AS barom_hpa,
+        baromrelin * 3.386388640341{_D} AS barom_kpa,
+        rainratein * 25.4{_D} AS rain_mm,
+        (tempf - 32.0{_D}) / 1.8{_D} AS temp_c
+      FROM ({READINGS_SQL}) r""",
+    "thi": f"""SELECT seq, temp_c, rh AS humidity,
+        (1.8{_D} * temp_c + 32.0{_D}) - ((0.55{_D} - 0.0055{_D} * rh) * (1.8{_D} * temp_c - 26.0{_D})) AS thi,
+        (1.8{_D} * ((tempf - 32.0{_D}) / 1.8{_D}) + 32.0{_D})
+          - ((0.55{_D} - 0.0055{_D} * rh) * (1.8{_D} * ((tempf - 32.0{_D}) / 1.8{_D}) - 26.0{_D})) AS thi_from_f,
+        (1.8{_D} * ((temp_c + 273.15{_D}) - 273.15{_D}) + 32.0{_D})
+          - ((0.55{_D} - 0.0055{_D} * rh) * (1.8{_D} * ((temp_c + 273.15{_D}) - 273.15{_D}) - 26.0{_D})) AS thi_from_k
+      FROM (SELECT *, CASE WHEN stationtype <> 'error' THEN humidity END AS rh FROM ({READINGS_SQL}) r0) r""",
+    "align_schema": aligned_sql(),
+    "union_evolved": f"""SELECT PASSKEY, "timestamp", seq, tempf, humidity,
+        CASE WHEN "timestamp" < TIMESTAMP '2024-01-15 00:00:00' THEN NULL ELSE thi END AS thi
+      FROM ({READINGS_SQL}) r""",
+    "scan_station": aligned_sql(where="WHERE PASSKEY = 'st_7'"),
+    "latest_reading": f"""{_readings_cols()}
+      QUALIFY row_number() OVER (PARTITION BY PASSKEY ORDER BY "timestamp" DESC, seq DESC) = 1""",
+    "range_scan": f"""{_readings_cols()}
+      WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'""",
+    "range_scan_1h": f"""SELECT * FROM ({rollup_sql("1h")}) q
+      WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10 00:30:00' AND TIMESTAMP '2024-01-12 12:15:00'""",
+    "upsert_latest_wins": f"""SELECT CAST(CAST("timestamp" AS DATE) AS TIMESTAMP) AS "timestamp",
+        {', '.join(READING_COLUMNS[1:])}
+      FROM ({READINGS_SQL}) r
+      QUALIFY row_number() OVER (PARTITION BY PASSKEY, CAST("timestamp" AS DATE) ORDER BY seq DESC) = 1""",
+    "feed_latest_bucket": f"""WITH r AS ({READINGS_SQL})
+      SELECT 'raw' AS data_type, PASSKEY, "timestamp", CAST(NULL AS BIGINT) AS sample_count, tempf FROM r
+        QUALIFY row_number() OVER (PARTITION BY PASSKEY ORDER BY "timestamp" DESC, seq DESC) = 1
+      UNION ALL {_feed_part("1m")}
+      UNION ALL {_feed_part("1h")}
+      UNION ALL {_feed_part("1d")}""",
+    "station_resolve": f"""SELECT r.event_id, f.station_id FROM ({REP}) r JOIN ({FIRST_ST}) f
+        ON r.user_id = f.user_id WHERE r.PASSKEY IS NOT NULL""",
+    "station_unknown": f"""SELECT r.event_id, r.PASSKEY FROM ({REP}) r
+        WHERE r.PASSKEY IS NOT NULL AND r.user_id NOT IN (SELECT user_id FROM ({ST}) s)""",
+    "scope_migrate": f"""SELECT 'key ' || CAST(user_id AS VARCHAR) AS title,
+        string_agg(v, ',' ORDER BY first) AS weatherstations,
+        coalesce(string_agg(CASE WHEN bad THEN station END, ',' ORDER BY first), '') AS unresolved,
+        CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS n_unresolved
+      FROM ({SCOPE_RES}) s GROUP BY user_id""",
+    "scope_stations": f"""WITH res AS ({SCOPE_RES}),
+      acc AS ({ACCEPTED}),
+      per_station AS (SELECT station_id, count(*) AS n FROM acc GROUP BY station_id),
+      wild AS (SELECT DISTINCT user_id FROM res WHERE v = '*'),
+      listed AS (SELECT DISTINCT user_id, v FROM res WHERE user_id NOT IN (SELECT user_id FROM wild))
+      SELECT 'key ' || CAST(l.user_id AS VARCHAR) AS title, CAST(coalesce(sum(p.n), 0) AS BIGINT) AS visible_rows
+        FROM listed l LEFT JOIN per_station p ON l.v = p.station_id GROUP BY l.user_id
+      UNION ALL
+      SELECT 'key ' || CAST(user_id AS VARCHAR) AS title, CAST((SELECT count(*) FROM acc) AS BIGINT) AS visible_rows
+        FROM wild""",
+    "scope_endpoints": """SELECT 'key ' || CAST(user_id AS VARCHAR) AS title,
+        bool_or(event_type IN ('view', 'purchase')) AS allowed_current,
+        bool_or(event_type IN ('click', 'purchase')) AS allowed_range,
+        bool_or(event_type IN ('signup', 'purchase')) AS allowed_ws,
+        bool_or(event_type IN ('error', 'purchase')) AS allowed_storage
+      FROM events GROUP BY user_id""",
+    "allowlist_insert": f"""WITH st AS ({ST}),
+      newe AS (SELECT 1000000000000 + event_id AS ordinal,
+                      'new station ' || CAST(user_id AS VARCHAR) AS title,
+                      {STATION_HASH.format(eid='event_id', uid='user_id')} AS salted_station_hash,
+                      sha256('stationlake:PK' || CAST(user_id AS VARCHAR)) AS passkey_digest
+               FROM events WHERE event_type = 'purchase')
+      SELECT ordinal, title, salted_station_hash, passkey_digest FROM st
+      UNION ALL
+      SELECT ordinal, title, salted_station_hash, passkey_digest FROM newe
+        WHERE passkey_digest NOT IN (SELECT passkey_digest FROM st)
+        QUALIFY row_number() OVER (PARTITION BY passkey_digest ORDER BY ordinal) = 1""",
+    "split_csv": """SELECT event_id, array_to_string(l, '|') AS items, CAST(len(l) AS BIGINT) AS n_items FROM (
+        SELECT event_id, list_filter(list_transform(string_split(
+            event_type || ', ,' || ' k' || json_extract_string(props, '$.k') || ',, ' || CAST(user_id AS VARCHAR), ','),
+            lambda x: trim(x)), lambda x: x <> '') AS l
+        FROM events) t""",
 }

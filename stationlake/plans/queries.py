@@ -8,16 +8,42 @@ the matching SQL in ``plans/oracle.py``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationlake.functions import units
+from stationlake.functions.text import decode_form, split_csv
+from stationlake.functions.times import bucket, ensure_utc, parse_dateutc, parse_iso
+from stationlake.operators import ingest, stations
 from stationlake.operators.rollup import rollup
+from stationlake.operators.upsert import last_row, latest_wins, union_evolved
+from stationlake.schema import AGGREGATABLE_FIELDS, STATION_COL, TIMESTAMP_COL, raw_schema
 from stationlake.sources import fixtures
+from stationlake.sources.store import current, range_filter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
 
+# --- Fixed values: query parameters ------------------------------------------
+SCAN_STATION = "st_7"
+RANGE_START = "2024-01-10T07:00:00+07:00"      # 2024-01-10 00:00:00 UTC
+RANGE_END = "2024-01-12T12:00:00Z"
+ROLLUP_RANGE_START = "2024-01-10T00:30:00Z"    # not on a bucket edge
+ROLLUP_RANGE_END = "2024-01-12 12:15:00"       # naive = UTC
+EVOLVED_FROM = "2024-01-15 00:00:00"           # rows before lack `thi`
+NEW_STATION_ORDINAL_BASE = 1_000_000_000_000
+USAGE_WARNING_GB = 0.001
+USAGE_ERROR_GB = 0.003
+# ------------------------------------------------------------------------------
+
+READING_COLUMNS = [
+    "timestamp", "PASSKEY", "seq", "stationtype", "baromrelin", "tempf", "humidity", "winddir",
+    "windspeedmph", "rainratein", "vpd", "temp_c", "baromrel_hpa", "windspeed_ms", "rainrate_mm",
+    "vpd_kpa", "thi",
+]
+
 
 def register(name: str):
     def deco(fn: QueryFn) -> QueryFn:
@@ -33,6 +59,12 @@ def round_stats(df: DataFrame, digits: int = 9) -> DataFrame:
     })
 
 
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.readings(spark, sf_dir).select(*READING_COLUMNS)
+
+
+# --- A1-A10: rollups -----------------------------------------------------------
+
 def _rollup_query(interval: str) -> QueryFn:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         return round_stats(rollup(fixtures.readings(spark, sf_dir), interval))
@@ -42,3 +74,270 @@ def _rollup_query(interval: str) -> QueryFn:
 
 for _interval in ("1m", "1h", "1d"):
     register(f"rollup_{_interval}")(_rollup_query(_interval))
+
+
+@register("rollup_wide")
+def rollup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: all 38 fields x 5 stats (193 columns) over the aligned raw table."""
+    aligned = ingest.align(fixtures.readings(spark, sf_dir), raw_schema(), on_unknown="drop")
+    return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS))
+
+
+# --- S2, P1, P3, F9, K4: the report path ---------------------------------------
+
+@register("form_decode")
+def form_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rep = fixtures.reports(spark, sf_dir).withColumn("form", decode_form("body"))
+    f = F.col("form")
+    return rep.select(
+        "event_id",
+        f["PASSKEY"].alias("PASSKEY"), f["stationtype"].alias("stationtype"),
+        f["dateutc"].alias("dateutc"), f["tempf"].alias("tempf"), f["humidity"].alias("humidity"),
+        f["model"].alias("model"),
+        F.size(F.map_keys(f)).cast("bigint").alias("n_keys"),
+    )
+
+
+@register("typed_reports")
+def typed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rep = fixtures.reports(spark, sf_dir).withColumn("form", decode_form("body"))
+    t = ingest.type_report(rep)
+    return t.select(
+        "event_id", "PASSKEY", "stationtype", "dateutc", "tempf", "humidity", "winddir",
+        "baromrelin", "windspeedmph", "freq", "model",
+        F.array_join("invalid_fields", ",").alias("invalid_fields"),
+    )
+
+
+@register("parse_times")
+def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = fixtures.load(spark, sf_dir, "events")
+    ts = F.col("ts")
+    shifted = ts + F.expr("INTERVAL 7 HOURS")
+    return ev.select(
+        "event_id",
+        parse_dateutc(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).alias("dateutc_std"),
+        parse_dateutc(F.date_format(ts, "yyyy-M-d H:m:s")).alias("dateutc_unpadded"),
+        parse_dateutc(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).alias("dateutc_t"),
+        parse_dateutc(F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit(" 25:00:00"))).alias("dateutc_bad"),
+        parse_iso(F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).alias("iso_z"),
+        parse_iso(F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+07:00"))).alias("iso_offset"),
+        parse_iso(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).alias("iso_naive"),
+        parse_iso(F.date_format(ts, "yyyy-MM-dd")).alias("iso_date"),
+        parse_iso(F.date_format(ts, "yyyy")).alias("iso_bad"),
+    )
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.decode_and_check(fixtures.reports(spark, sf_dir), fixtures.stations(spark, sf_dir))
+
+
+@register("rejected_reports")
+def rejected_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.rejected(_checked(spark, sf_dir), ["event_id"])
+
+
+# --- P5, P8, F1-F7, U1 ---------------------------------------------------------
+
+@register("to_metric")
+def to_metric_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _readings(spark, sf_dir)
+
+
+@register("unit_functions")
+def unit_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fixtures.readings(spark, sf_dir)
+    return r.select(
+        "seq",
+        units.mph_to_kmh("windspeedmph").alias("windspeed_kmh"),
+        units.mph_to_ms("windspeedmph").alias("windspeed_ms"),
+        units.inhg_to_hpa("baromrelin").alias("barom_hpa"),
+        units.inhg_to_kpa("baromrelin").alias("barom_kpa"),
+        units.inches_to_mm("rainratein").alias("rain_mm"),
+        units.fahrenheit_to_celsius("tempf").alias("temp_c"),
+    )
+
+
+@register("thi")
+def thi_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fixtures.readings(spark, sf_dir)
+    rh = F.when(F.col("stationtype") != "error", F.col("humidity"))
+    return r.select(
+        "seq", "temp_c", rh.alias("humidity"),
+        units.thi("temp_c", rh).alias("thi"),
+        units.thi("tempf", rh, unit="degF").alias("thi_from_f"),
+        units.thi(F.col("temp_c") + F.lit(273.15), rh, unit="K").alias("thi_from_k"),
+    )
+
+
+@register("align_schema")
+def align_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.align(_readings(spark, sf_dir).drop("seq"), raw_schema())
+
+
+@register("union_evolved")
+def union_evolved_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _readings(spark, sf_dir).select(STATION_COL, TIMESTAMP_COL, "seq", "tempf", "humidity", "thi")
+    cut = F.lit(EVOLVED_FROM).cast("timestamp_ntz")
+    old = (r.filter(F.col(TIMESTAMP_COL) < cut).drop("thi")
+           .withColumn("humidity", F.col("humidity").cast("int")))
+    new = r.filter(F.col(TIMESTAMP_COL) >= cut)
+    return union_evolved(old, new).select(STATION_COL, TIMESTAMP_COL, "seq", "tempf", "humidity", "thi")
+
+
+# --- S3-S6, K1, W1, O1, O2, K5 --------------------------------------------------
+
+@register("scan_station")
+def scan_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _readings(spark, sf_dir).filter(F.col(STATION_COL) == SCAN_STATION)
+    aligned = ingest.align(r, raw_schema(), keep=["seq"])
+    return current(aligned, "raw")
+
+
+@register("latest_reading")
+def latest_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_row(_readings(spark, sf_dir))
+
+
+@register("range_scan")
+def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_filter(_readings(spark, sf_dir), RANGE_START, RANGE_END).orderBy(TIMESTAMP_COL)
+
+
+def rollup_range(df: DataFrame, interval: str, start, end) -> DataFrame:
+    """Rollup buckets starting in [start, end], reading only the raw rows
+    that can fall in them: ts >= start rounded up to a bucket edge and
+    ts < (end rounded down) + one bucket."""
+    s, e = ensure_utc(start), ensure_utc(end)
+    width = {"1m": timedelta(minutes=1), "1h": timedelta(hours=1), "1d": timedelta(days=1)}[interval]
+    epoch = s.replace(year=1970, month=1, day=1, hour=0, minute=0, second=0, microsecond=0)
+    floor_s = epoch + ((s - epoch) // width) * width
+    lo = floor_s if floor_s == s else floor_s + width
+    hi = epoch + ((e - epoch) // width) * width + width
+    ts = F.col(TIMESTAMP_COL)
+    pruned = df.filter((ts >= F.lit(lo).cast("timestamp_ntz")) & (ts < F.lit(hi).cast("timestamp_ntz")))
+    return range_filter(rollup(pruned, interval), s, e)
+
+
+@register("range_scan_1h")
+def range_scan_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_stats(rollup_range(fixtures.readings(spark, sf_dir), "1h",
+                                    ROLLUP_RANGE_START, ROLLUP_RANGE_END))
+
+
+@register("upsert_latest_wins")
+def upsert_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = fixtures.daily_readings(spark, sf_dir).select(*READING_COLUMNS)
+    return latest_wins(daily, [STATION_COL, TIMESTAMP_COL], seq="seq")
+
+
+def last_buckets(df: DataFrame, interval: str) -> DataFrame:
+    """K5: each station's last bucket only.  The newest timestamp per station
+    is found first (an aggregate), then only that bucket's rows are rolled
+    up - not the station's whole history."""
+    newest = df.groupBy(STATION_COL).agg(F.max(TIMESTAMP_COL).alias("_last"))
+    lastb = newest.select(STATION_COL, bucket("_last", interval).alias("_b"))
+    rows = (df.withColumn("_b", bucket(TIMESTAMP_COL, interval))
+            .join(lastb, [STATION_COL, "_b"], "left_semi").drop("_b"))
+    return rollup(rows, interval)
+
+
+@register("feed_latest_bucket")
+def feed_latest_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fixtures.readings(spark, sf_dir)
+    raw = last_row(r.select(*READING_COLUMNS)).select(
+        F.lit("raw").alias("data_type"), STATION_COL, TIMESTAMP_COL,
+        F.lit(None).cast("bigint").alias("sample_count"), F.col("tempf"))
+    parts = [raw]
+    for interval in ("1m", "1h", "1d"):
+        lb = last_buckets(r, interval)
+        parts.append(lb.select(F.lit(interval).alias("data_type"), STATION_COL, TIMESTAMP_COL,
+                               "sample_count", F.round("tempf_avg", 9).alias("tempf")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --- J1-J8, F11, F12 ----------------------------------------------------------
+
+def _decoded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rep = fixtures.reports(spark, sf_dir).withColumn("form", decode_form("body"))
+    return rep.select("event_id", F.col("form")["PASSKEY"].alias("PASSKEY"))
+
+
+@register("station_resolve")
+def station_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stations.resolve_stations(_decoded_keys(spark, sf_dir),
+                                     fixtures.stations(spark, sf_dir)).select("event_id", "station_id")
+
+
+@register("station_unknown")
+def station_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stations.unknown_stations(_decoded_keys(spark, sf_dir),
+                                     fixtures.stations(spark, sf_dir)).select("event_id", "PASSKEY")
+
+
+@register("scope_migrate")
+def scope_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = stations.migrate_scopes(fixtures.scopes(spark, sf_dir), fixtures.stations(spark, sf_dir))
+    return m.select(
+        "title",
+        F.array_join("weatherstations", ",").alias("weatherstations"),
+        F.array_join("unresolved", ",").alias("unresolved"),
+        F.size("unresolved").cast("bigint").alias("n_unresolved"),
+    )
+
+
+@register("scope_stations")
+def scope_stations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allow = fixtures.stations(spark, sf_dir)
+    accepted, _ = ingest.ingest(fixtures.reports(spark, sf_dir), allow)
+    migrated = stations.migrate_scopes(fixtures.scopes(spark, sf_dir), allow)
+    return stations.visible_counts(accepted, migrated)
+
+
+@register("scope_endpoints")
+def scope_endpoints_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sc = fixtures.scopes(spark, sf_dir)
+    names = {
+        "allowed_current": fixtures.EVENT_ENDPOINTS["view"],
+        "allowed_range": fixtures.EVENT_ENDPOINTS["click"],
+        "allowed_ws": fixtures.EVENT_ENDPOINTS["signup"],
+        "allowed_storage": fixtures.EVENT_ENDPOINTS["error"],
+    }
+    return sc.select("title", *[stations.allows_endpoint(F.col("endpoints"), n).alias(a)
+                                for a, n in names.items()])
+
+
+@register("allowlist_insert")
+def allowlist_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = fixtures.load(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    key = fixtures.station_key(F.col("user_id"))
+    new = ev.select(
+        (F.lit(NEW_STATION_ORDINAL_BASE) + F.col("event_id")).alias("ordinal"),
+        F.concat(F.lit("new station "), F.col("user_id").cast("string")).alias("title"),
+        F.concat(F.lit(fixtures.STATION_HASH_PREFIX + "600000$"),
+                 F.substring(F.sha2(F.concat(F.lit("salt"), F.col("event_id").cast("string")), 256), 1, 32),
+                 F.lit("$"), F.sha2(key, 256)).alias("salted_station_hash"),
+        stations.passkey_digest(key).alias("passkey_digest"),
+    )
+    return stations.insert_stations(fixtures.stations(spark, sf_dir), new)
+
+
+@register("split_csv")
+def split_csv_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = fixtures.load(spark, sf_dir, "events")
+    text = F.concat(F.col("event_type"), F.lit(", ,"), F.lit(" k"),
+                    F.get_json_object("props", "$.k"), F.lit(",, "), F.col("user_id").cast("string"))
+    items = split_csv(text)
+    return ev.select("event_id", F.array_join(items, "|").alias("items"),
+                     F.size(items).cast("bigint").alias("n_items"))
+
+
+# --- A11 ------------------------------------------------------------------------
+
+@register("usage_status")
+def usage_status_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stationlake.operators.usage import usage_status
+    return usage_status(spark, sf_dir, USAGE_WARNING_GB, USAGE_ERROR_GB, glob="*.parquet")

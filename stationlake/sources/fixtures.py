@@ -8,9 +8,9 @@ readings  one reading per event: station ``st_<user_id>``, ``timestamp = ts``,
           values as simple functions of ``value``.
 reports   the same events as urlencoded station reports, with the raw
           station key ``PK<user_id>``; some are broken on purpose.
-stations  the allow-list: one entry per ``signup`` event, so a user with
-          several signups is listed several times (first entry wins) and a
-          user without one is unknown.
+stations  the allow-list: one entry per ``signup`` event of the first three
+          days, so a user with several is listed several times (first entry
+          wins) and a user without one is an unknown station.
 scopes    one access key per user: endpoints from the event types used,
           stations from the ``k`` values seen (raw keys, the pre-migration
           form) plus a wildcard for users with a large purchase.
@@ -41,6 +41,8 @@ EVENT_ENDPOINTS: dict[str, str] = {
     "purchase": "*",
 }
 WILDCARD_PURCHASE_VALUE = 300.0
+# Signups before this time are on the allow-list.
+REGISTRATION_CUTOFF = "2024-01-04 00:00:00"
 STATION_HASH_PREFIX = "pbkdf2_sha256$"
 # ---------------------------------------------------------------------------
 
@@ -144,7 +146,9 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from stationlake.operators.stations import passkey_digest
 
-    ev = load(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    ev = load(spark, sf_dir, "events").filter(
+        (F.col("event_type") == "signup")
+        & (F.col("ts") < F.lit(REGISTRATION_CUTOFF).cast("timestamp_ntz")))
     key = station_key(F.col("user_id"))
     return ev.select(
         F.col("event_id").alias("ordinal"),
