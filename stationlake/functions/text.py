@@ -38,15 +38,31 @@ def form_pairs(body: Column | str) -> Column:
 
 
 def decode_form(body: Column | str) -> Column:
-    """map<string,string>; a repeated key resolves to its LAST value."""
-    pairs = form_pairs(body)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    vals = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
-    return F.map_from_arrays(keys, vals)
+    """map<string,string>; a repeated key resolves to its LAST value.
+
+    One pass: the decoded pairs (reversed, so the last occurrence comes
+    first) are folded into a list that takes a pair only if its key is not
+    in it yet.  The pair array occurs once in the expression, so the body is
+    split and decoded once per report even when Catalyst copies the
+    expression into a pushed-down filter.
+    """
+    kv_type = "array<struct<k:string,v:string>>"
+    deduped = F.aggregate(
+        F.reverse(form_pairs(body)),
+        F.array().cast(kv_type),
+        lambda acc, x: F.when(F.array_contains(acc["k"], x["k"]), acc)
+                        .otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.map_from_entries(deduped)
+
+
+def with_form(df, body_col: str = "body", out_col: str = "form"):
+    """S2 on a DataFrame: adds ``out_col`` = ``decode_form(body_col)``."""
+    return df.withColumn(out_col, decode_form(F.col(body_col)))
 
 
 def decode_form_multi(body: Column | str) -> Column:
-    """S2, log form: map<string, array<string>> keeping every value."""
+    """S2, capture-log form: map<string, array<string>> keeping every value."""
     pairs = form_pairs(body)
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     vals = F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stationlake.functions.text import decode_form
+from stationlake.functions.text import with_form
 from stationlake.functions.times import parse_dateutc
 from stationlake.operators.metric import to_metric
 from stationlake.operators.stations import passkey_digest, station_mapping
@@ -80,7 +80,7 @@ def decode_and_check(reports: DataFrame, stations: DataFrame, body_col: str = "b
     The allow-list join is a left join on the key digest; the mapping has
     one row per key, so it never multiplies report rows.
     """
-    decoded = type_report(reports.withColumn("form", decode_form(F.col(body_col))))
+    decoded = type_report(with_form(reports, body_col))
     keyed = decoded.withColumn("_digest", passkey_digest(F.col("PASSKEY")))
     mapping = station_mapping(stations).withColumnRenamed("passkey_digest", "_digest")
     joined = keyed.join(mapping, "_digest", "left").drop("_digest")

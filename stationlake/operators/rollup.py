@@ -12,10 +12,9 @@ default ("split") strategy therefore computes it in long form:
 
 1. unpivot to (station, bucket, field id, value) and count each value -
    the shuffle key includes the value, so a hot group spreads over tasks;
-2. per (station, bucket, field) keep the value with the highest count,
-   smallest value on ties (``max_by`` with a two-part ordering, a bounded
-   buffer, partially aggregated);
-3. fold the field ids back into columns with conditional ``max``;
+2. per (station, bucket) and field keep the value with the highest count,
+   smallest value on ties (``max_by`` with a two-part ordering: a bounded
+   buffer, partially aggregated), one output column per field;
 
 and joins the result to the other statistics on (station, bucket).  Both
 sides come out hash-partitioned on those keys.  ``mode_strategy="inline"``
@@ -66,7 +65,20 @@ def _bucketed(df: DataFrame, interval: str, fields: list[str]) -> DataFrame:
 
 
 def modes_long(bucketed: DataFrame, fields: list[str]) -> DataFrame:
-    """Mode of every field per (station, bucket), without per-group maps."""
+    """Mode of every field per (station, bucket), without per-group maps.
+
+    Two aggregations: value counts keyed by (station, bucket, field, value),
+    then per (station, bucket) one ``max_by`` per field over
+    (count, -value) - restricted to that field's rows by a null ordering
+    elsewhere.  The second one is partially aggregated right after the
+    first (the counts are complete there), so each task sends at most one
+    row per bucket to the final merge, however hot the bucket.
+
+    Only values seen at least twice enter the second step: when no value of
+    a field repeats in a bucket, every count is 1 and the mode is the
+    smallest value, i.e. the field's ``_min``; ``rollup`` fills it from
+    there.  For continuous readings this drops most rows before the pick.
+    """
     keys = [STATION_COL, TIMESTAMP_COL]
     pairs = F.array(*[
         F.struct(F.lit(i).cast("smallint").alias("fid"), F.col(f).alias("v"))
@@ -74,11 +86,11 @@ def modes_long(bucketed: DataFrame, fields: list[str]) -> DataFrame:
     ])
     long = (bucketed.select(*keys, F.inline(pairs))
             .filter(F.col("v").isNotNull()))
-    counts = long.groupBy(*keys, "fid", "v").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(*keys, "fid").agg(
-        F.max_by("v", F.struct(F.col("n"), F.negative(F.col("v")))).alias("m"))
-    return best.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("fid") == i, F.col("m"))).alias(stat_column(f, "mode"))
+    counts = (long.groupBy(*keys, "fid", "v").agg(F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n") >= 2))
+    rank = F.struct(F.col("n"), F.negative(F.col("v")))
+    return counts.groupBy(*keys).agg(*[
+        F.max_by(F.col("v"), F.when(F.col("fid") == i, rank)).alias(stat_column(f, "mode"))
         for i, f in enumerate(fields)
     ])
 
@@ -102,7 +114,10 @@ def rollup(df: DataFrame, interval: str, fields: list[str] | None = None,
         out = b.groupBy(*keys).agg(count, *stat_exprs(fields, with_mode=True))
     else:
         stats = b.groupBy(*keys).agg(count, *stat_exprs(fields, with_mode=False))
-        out = stats.join(modes_long(b, fields), keys, "left")
+        modes = modes_long(b, fields)
+        out = stats.join(modes, keys, "left").withColumns({
+            stat_column(f, "mode"): F.coalesce(modes[stat_column(f, "mode")], stats[stat_column(f, "min")])
+            for f in fields})
     ordered = [TIMESTAMP_COL, STATION_COL, "sample_count"] + [
         stat_column(f, s) for f in fields for s in ROLLUP_STATS]
     return out.select(*ordered)

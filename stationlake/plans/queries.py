@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.functions import units
-from stationlake.functions.text import decode_form, split_csv
+from stationlake.functions.text import split_csv, with_form
 from stationlake.functions.times import bucket, ensure_utc, parse_dateutc, parse_iso
 from stationlake.operators import ingest, stations
 from stationlake.operators.rollup import rollup
@@ -87,7 +87,7 @@ def rollup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("form_decode")
 def form_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rep = fixtures.reports(spark, sf_dir).withColumn("form", decode_form("body"))
+    rep = with_form(fixtures.reports(spark, sf_dir))
     f = F.col("form")
     return rep.select(
         "event_id",
@@ -100,7 +100,7 @@ def form_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("typed_reports")
 def typed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rep = fixtures.reports(spark, sf_dir).withColumn("form", decode_form("body"))
+    rep = with_form(fixtures.reports(spark, sf_dir))
     t = ingest.type_report(rep)
     return t.select(
         "event_id", "PASSKEY", "stationtype", "dateutc", "tempf", "humidity", "winddir",
@@ -262,7 +262,7 @@ def feed_latest_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- J1-J8, F11, F12 ----------------------------------------------------------
 
 def _decoded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rep = fixtures.reports(spark, sf_dir).withColumn("form", decode_form("body"))
+    rep = with_form(fixtures.reports(spark, sf_dir))
     return rep.select("event_id", F.col("form")["PASSKEY"].alias("PASSKEY"))
 
 
