@@ -7,8 +7,8 @@ clock.  Nothing here depends on ``spark.sql.session.timeZone``:
   giving an instant, which is turned into UTC wall-clock NTZ by adding its
   epoch micros to the NTZ epoch (``timestampadd`` on NTZ is zone-free,
   whereas ``timestampdiff`` / ``date_trunc`` on NTZ are not);
-* buckets come from ``window(ts, width).start``, which works on epoch micros
-  for both NTZ and LTZ input and keeps the input type.
+* NTZ buckets are rebuilt from the value's own fields (``make_timestamp_ntz``,
+  ``to_date``), which never consult the session zone.
 """
 
 from __future__ import annotations
@@ -20,8 +20,18 @@ from pyspark.sql import functions as F
 
 from stationlake.schema import INTERVALS
 
+def ntz_lit(value: datetime | str) -> Column:
+    """TIMESTAMP_NTZ literal from a naive datetime (or its text).
+
+    Built from text: ``F.lit`` of a Python datetime makes an instant in the
+    session zone first, which a later cast would shift.
+    """
+    text = value.isoformat(sep=" ") if isinstance(value, datetime) else value
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def _epoch_ntz() -> Column:
-    return F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz")
+    return ntz_lit("1970-01-01 00:00:00")
 
 
 # --- Fixed values: accepted text shapes --------------------------------------
@@ -92,7 +102,25 @@ def ensure_utc(value: datetime | str) -> datetime:
 
 
 def bucket(ts: Column | str, interval: str) -> Column:
-    """start of the UTC minute / hour / day bucket (``1m``/``1h``/``1d``)."""
+    """start of the minute / hour / day bucket (``1m``/``1h``/``1d``)
+    of a UTC wall-clock TIMESTAMP_NTZ.
+
+    Built from the NTZ's own date and time fields, which never consult the
+    session zone (``date_trunc`` on NTZ would: it returns an instant and
+    shifts times on DST days).  Any number of buckets may share a select.
+    """
+    if interval not in INTERVALS:
+        raise ValueError(f"interval must be one of {list(INTERVALS)}, got {interval!r}")
+    t = _col(ts)
+    if interval == "1d":
+        return F.to_date(t).cast("timestamp_ntz")
+    minute = F.minute(t) if interval == "1m" else F.lit(0)
+    return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), minute, F.lit(0))
+
+
+def bucket_instant(ts: Column | str, interval: str) -> Column:
+    """F10 for TIMESTAMP (instant) columns: UTC-aligned bucket start, via
+    ``window`` on epoch micros (one ``window`` per select)."""
     if interval not in INTERVALS:
         raise ValueError(f"interval must be one of {list(INTERVALS)}, got {interval!r}")
     return F.window(_col(ts), INTERVALS[interval]).start

@@ -74,19 +74,25 @@ def reject_reason(has_station: Column) -> Column:
     )
 
 
-def decode_and_check(reports: DataFrame, stations: DataFrame, body_col: str = "body") -> DataFrame:
-    """Decoded, typed reports with ``station_id`` and ``reject_reason``.
+def check_forms(forms: DataFrame, stations: DataFrame, form_col: str = "form") -> DataFrame:
+    """Typed reports (from a decoded form map) with ``station_id`` and
+    ``reject_reason``.
 
     The allow-list join is a left join on the key digest; the mapping has
     one row per key, so it never multiplies report rows.
     """
-    decoded = type_report(with_form(reports, body_col))
-    keyed = decoded.withColumn("_digest", passkey_digest(F.col("PASSKEY")))
+    typed = type_report(forms, form_col)
+    keyed = typed.withColumn("_digest", passkey_digest(F.col("PASSKEY")))
     mapping = station_mapping(stations).withColumnRenamed("passkey_digest", "_digest")
     joined = keyed.join(mapping, "_digest", "left").drop("_digest")
     return joined.withColumn("reject_reason", reject_reason(F.col("station_id").isNotNull()))
 
 
+def decode_and_check(reports: DataFrame, stations: DataFrame, body_col: str = "body") -> DataFrame:
+    """``check_forms`` on urlencoded report bodies."""
+    return check_forms(with_form(reports, body_col), stations)
+
+
 def accepted_rows(checked: DataFrame, seq_col: str = "received") -> DataFrame:
     """P4 + P8 + P5: valid reports as raw-schema rows plus ``seq``."""
     ok = checked.filter(F.col("reject_reason").isNull())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stationlake.functions import units
 from stationlake.functions.text import split_csv, with_form
-from stationlake.functions.times import bucket, ensure_utc, parse_dateutc, parse_iso
+from stationlake.functions.times import bucket, ensure_utc, ntz_lit, parse_dateutc, parse_iso
 from stationlake.operators import ingest, stations
 from stationlake.operators.rollup import rollup
 from stationlake.operators.upsert import last_row, latest_wins, union_evolved
@@ -215,7 +215,7 @@ def rollup_range(df: DataFrame, interval: str, start, end) -> DataFrame:
     lo = floor_s if floor_s == s else floor_s + width
     hi = epoch + ((e - epoch) // width) * width + width
     ts = F.col(TIMESTAMP_COL)
-    pruned = df.filter((ts >= F.lit(lo).cast("timestamp_ntz")) & (ts < F.lit(hi).cast("timestamp_ntz")))
+    pruned = df.filter((ts >= ntz_lit(lo)) & (ts < ntz_lit(hi)))
     return range_filter(rollup(pruned, interval), s, e)
 
 
