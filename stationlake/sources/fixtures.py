@@ -190,3 +190,10 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("e", lambda x: x["endpoint"]).alias("endpoints"),
         F.transform("s", lambda x: x["station"]).alias("weatherstations"),
     )
+
+
+def passkey_digest_of(key: str) -> Column:
+    """Allow-list digest of one raw station key (for registry files)."""
+    from stationlake.operators.stations import passkey_digest
+
+    return passkey_digest(F.lit(key))
