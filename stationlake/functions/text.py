@@ -37,6 +37,19 @@ def form_pairs(body: Column | str) -> Column:
     ))
 
 
+KV_TYPE = "array<struct<k:string,v:string>>"
+
+
+def _last_wins(kv: Column) -> Column:
+    """Fold pairs (last occurrence first) into a list keeping the first
+    pair per key."""
+    return F.aggregate(
+        kv, F.array().cast(KV_TYPE),
+        lambda acc, x: F.when(F.array_contains(acc["k"], x["k"]), acc)
+                        .otherwise(F.concat(acc, F.array(x))),
+    )
+
+
 def decode_form(body: Column | str) -> Column:
     """map<string,string>; a repeated key resolves to its LAST value.
 
@@ -46,19 +59,23 @@ def decode_form(body: Column | str) -> Column:
     split and decoded once per report even when Catalyst copies the
     expression into a pushed-down filter.
     """
-    kv_type = "array<struct<k:string,v:string>>"
-    deduped = F.aggregate(
-        F.reverse(form_pairs(body)),
-        F.array().cast(kv_type),
-        lambda acc, x: F.when(F.array_contains(acc["k"], x["k"]), acc)
-                        .otherwise(F.concat(acc, F.array(x))),
-    )
-    return F.map_from_entries(deduped)
+    return F.map_from_entries(_last_wins(F.reverse(form_pairs(body))))
 
 
 def with_form(df, body_col: str = "body", out_col: str = "form"):
-    """S2 on a DataFrame: adds ``out_col`` = ``decode_form(body_col)``."""
-    return df.withColumn(out_col, decode_form(F.col(body_col)))
+    """S2 on a DataFrame: adds ``out_col`` = decoded map (last value wins).
+
+    The decoded pairs are computed once into a column; a report whose keys
+    are all distinct (the usual case) becomes a map directly, and only one
+    with a repeated key pays for the fold.  Catalyst keeps the two
+    projections apart: the pair column is referenced several times and is
+    not cheap.
+    """
+    staged = df.withColumn("_kv", F.reverse(form_pairs(F.col(body_col))))
+    kv = F.col("_kv")
+    distinct = F.size(F.array_distinct(kv["k"])) == F.size(kv)
+    form = F.when(distinct, F.map_from_entries(kv)).otherwise(F.map_from_entries(_last_wins(kv)))
+    return staged.withColumn(out_col, form).drop("_kv")
 
 
 def decode_form_multi(body: Column | str) -> Column:

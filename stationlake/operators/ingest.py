@@ -32,31 +32,38 @@ KNOWN_KEYS: list[str] = PAYLOAD_FIELDS + ["dateutc"] + EXTRA_STRING_FIELDS
 
 
 def parse_number(c: Column) -> Column:
-    """Text -> double; null for absent text or text that is not a number."""
-    return F.when(c.rlike(NUMBER_SHAPE), F.trim(c).try_cast("double"))
+    """Text -> double; null for absent text or text that is not a number.
+
+    Written as ``value * (1.0 if well-formed else null)`` - exact, since
+    multiplying by 1.0 changes no double - rather than a CASE WHEN around
+    the cast: with two dozen fields in one projection, the generated code
+    of the CASE WHEN form ran about three times slower.
+    """
+    return c.try_cast("double") * F.when(c.rlike(NUMBER_SHAPE), F.lit(1.0))
 
 
 def type_report(df: DataFrame, form_col: str = "form") -> DataFrame:
     """Typed columns from a decoded form map, plus ``invalid_fields``.
 
     A field is invalid when present but not castable.  ``dateutc`` becomes
-    ``dateutc`` (UTC wall-clock NTZ, null when absent or malformed).
+    ``dateutc`` (UTC wall-clock NTZ, null when absent or malformed).  The
+    checks are a second projection over the typed columns, so each value is
+    parsed once.
     """
     form = F.col(form_col)
     typed: dict[str, Column] = {}
-    bad: list[Column] = []
     for name in PAYLOAD_FIELDS + EXTRA_STRING_FIELDS:
         raw = form.getItem(name)
-        if name in STRING_PAYLOAD_FIELDS or name in EXTRA_STRING_FIELDS:
-            typed[name] = raw
-        else:
-            typed[name] = parse_number(raw)
-            bad.append(F.when(raw.isNotNull() & typed[name].isNull(), F.lit(name)))
+        is_text = name in STRING_PAYLOAD_FIELDS or name in EXTRA_STRING_FIELDS
+        typed[name] = raw if is_text else parse_number(raw)
     typed["dateutc_text"] = form.getItem("dateutc")
     typed["dateutc"] = parse_dateutc(form.getItem("dateutc"))
-    typed["invalid_fields"] = F.filter(F.array(*bad), lambda x: x.isNotNull())
-    typed["unknown_fields"] = F.array_sort(F.array_except(F.map_keys(form), F.array(*[F.lit(k) for k in KNOWN_KEYS])))
-    return df.withColumns(typed)
+    out = df.withColumns(typed)
+    bad = [F.when(form.getItem(n).isNotNull() & F.col(n).isNull(), F.lit(n)) for n in NUMERIC_PAYLOAD_FIELDS]
+    return out.withColumns({
+        "invalid_fields": F.array_compact(F.array(*bad)),
+        "unknown_fields": F.array_sort(F.array_except(F.map_keys(form), F.array(*[F.lit(k) for k in KNOWN_KEYS]))),
+    })
 
 
 def reject_reason(has_station: Column) -> Column:

@@ -90,6 +90,13 @@ def test_first_allow_list_entry_wins(spark):
     assert [r["PASSKEY"] for r in acc.collect()] == ["pbkdf2_sha256$first"]
 
 
+def test_number_text_forms(spark):
+    bodies = [report(**{**BASE, "tempf": v}) for v in ("+91.8+", "-3", ".5", "1e2", "0x10", "inf", "")]
+    acc, rej = run(spark, bodies)
+    assert sorted(r["tempf"] for r in acc.collect()) == [-3.0, 0.5, 91.8, 100.0]
+    assert sorted(rej) == [4, 5, 6]
+
+
 def test_repeated_form_key_last_value(spark):
     acc, _ = run(spark, [report(**BASE) + "&tempf=95.5"])
     assert acc.first()["tempf"] == 95.5
