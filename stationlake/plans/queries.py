@@ -21,7 +21,7 @@ from stationlake.operators.rollup import rollup
 from stationlake.operators.upsert import last_row, latest_wins, union_evolved
 from stationlake.schema import AGGREGATABLE_FIELDS, STATION_COL, TIMESTAMP_COL, raw_schema
 from stationlake.sources import fixtures
-from stationlake.sources.store import current, range_filter
+from stationlake.sources.store import range_filter, resolve
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -191,7 +191,7 @@ def union_evolved_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _readings(spark, sf_dir).filter(F.col(STATION_COL) == SCAN_STATION)
     aligned = ingest.align(r, raw_schema(), keep=["seq"])
-    return current(aligned, "raw")
+    return resolve(aligned, "raw")
 
 
 @register("latest_reading")

@@ -18,8 +18,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
     AQE stays on so shuffle partitions are coalesced and skewed joins split
     at run time; the session zone is pinned to UTC but no operator depends
-    on it (timestamps are bucketed on epoch micros, parsed with an explicit
-    zone).
+    on it (NTZ buckets come from the value's own fields, text is parsed with
+    an explicit zone).
     """
     builder = (
         SparkSession.builder.master(master or "local[*]")
@@ -29,6 +29,9 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # A rollup over all 38 fields carries ~270 aggregate buffer slots;
+        # above the default of 100 the aggregate leaves whole-stage codegen.
+        .config("spark.sql.codegen.maxFields", "1000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

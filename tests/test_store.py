@@ -87,6 +87,18 @@ def test_rollup_table_and_csv(spark, scratch):
     assert header.strip().startswith("timestamp,PASSKEY,") and header.count("\n") == 1
 
 
+def test_recompute_rollups(spark, scratch):
+    rows = [("a", T0 + timedelta(minutes=20 * i), 70.0 + i, i) for i in range(8)]
+    store.upsert(spark, raw_rows(spark, rows), scratch)
+    store.recompute_rollups(spark, scratch)
+    assert store.read_all(spark, scratch, "1m").count() == 8
+    assert store.read_all(spark, scratch, "1h").count() == 3
+    day = store.read_all(spark, scratch, "1d").first()
+    assert day["sample_count"] == 8 and day["tempf_avg"] == 73.5
+    plan = store.read_all(spark, scratch)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan                       # stored rows are already resolved
+
+
 def test_union_evolved(spark):
     old = spark.createDataFrame([("a", T0, 1)], "PASSKEY string, timestamp timestamp_ntz, humidity int")
     new = spark.createDataFrame([("a", T0, 2.5, 80.0)],
