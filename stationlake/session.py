@@ -45,17 +45,21 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and job state.
 
-    The cluster names it in ``spark.checkpoint.dir``; it is only set here
-    when unset (local tests), never overridden.
+    The cluster names it in ``spark.checkpoint.dir``; it is never
+    overridden.  Only a local-mode session without one (tests, a laptop)
+    gets a fresh folder under /tmp; on a cluster a machine-local folder
+    would not survive the loss of that machine, so its absence is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (staging and stream state go there)")
     local = tempfile.mkdtemp(prefix="stationlake-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
