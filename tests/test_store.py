@@ -5,7 +5,6 @@ import os
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from stationlake.operators.ingest import align
 from stationlake.operators.rollup import rollup
