@@ -12,6 +12,24 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Settings for a large cluster (~100 TB of raw readings, ~1000 executors).
+# Shuffle partitions are sized for ~200 MB each at full scale and AQE
+# merges the small ones; skewed join partitions are split at run time.
+# Broadcasts stay under a measured 64 MB; dimension tables (allow-list,
+# scopes) are far below that, fact tables far above.
+CLUSTER_CONF: dict[str, str] = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.codegen.maxFields": "1000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "stationlake") -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume.
@@ -63,3 +81,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="stationlake-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def drop_staging(spark: SparkSession, path: str) -> None:
+    """Delete a staging copy once the write that read it has committed."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hpath):
+        fs.delete(hpath, True)
