@@ -58,3 +58,33 @@ def test_latest_wins_and_last_row_match_pandas(spark):
     got_last = last_row(df).toPandas()
     assert (got_last.sort_values("PASSKEY").reset_index(drop=True)[["seq", "v"]]
             .equals(want_last.sort_values("PASSKEY").reset_index(drop=True)[["seq", "v"]]))
+
+
+def _strptime_or_none(text):
+    from datetime import datetime as dt
+    try:
+        return dt.strptime(text, "%Y-%m-%d %H:%M:%S")
+    except ValueError:
+        return None
+
+
+def test_dateutc_matches_strptime(spark):
+    from stationlake.functions.times import parse_dateutc
+
+    rnd = random.Random(9)
+
+    def part(lo, hi, pad):
+        v = rnd.randint(lo, hi)
+        return f"{v:02d}" if pad and rnd.random() < 0.7 else str(v)
+
+    texts = set()
+    for _ in range(600):
+        year = rnd.choice(["2024", "2023", "1999", "24", "20245"])
+        sep = rnd.choice([" ", " ", " ", "T", "  "])
+        texts.add(f"{year}-{part(0, 13, True)}-{part(0, 32, True)}{sep}"
+                  f"{part(0, 25, True)}:{part(0, 61, True)}:{part(0, 61, True)}")
+    texts |= {"2024-02-29 12:00:00", "2023-02-29 12:00:00", "2024-12-31 23:59:59"}
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "s string")
+    got = {r["s"]: r["t"] for r in df.select("s", parse_dateutc("s").alias("t")).collect()}
+    for text in texts:
+        assert got[text] == _strptime_or_none(text), text
