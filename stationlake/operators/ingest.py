@@ -59,9 +59,13 @@ def type_report(df: DataFrame, form_col: str = "form") -> DataFrame:
     typed["dateutc_text"] = form.getItem("dateutc")
     typed["dateutc"] = parse_dateutc(form.getItem("dateutc"))
     out = df.withColumns(typed)
-    bad = [F.when(form.getItem(n).isNotNull() & F.col(n).isNull(), F.lit(n)) for n in NUMERIC_PAYLOAD_FIELDS]
+    # A branch-free count first; the list of names is only built for the
+    # (rare) reports that have an invalid field.
+    flags = [form.getItem(n).isNotNull() & F.col(n).isNull() for n in NUMERIC_PAYLOAD_FIELDS]
+    n_bad = sum((c.cast("int") for c in flags[1:]), flags[0].cast("int"))
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in zip(flags, NUMERIC_PAYLOAD_FIELDS)]))
     return out.withColumns({
-        "invalid_fields": F.array_compact(F.array(*bad)),
+        "invalid_fields": F.when(n_bad > 0, names).otherwise(F.array().cast("array<string>")),
         "unknown_fields": F.array_sort(F.array_except(F.map_keys(form), F.array(*[F.lit(k) for k in KNOWN_KEYS]))),
     })
 
