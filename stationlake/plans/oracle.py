@@ -115,7 +115,7 @@ def _cents_text(expr: str) -> str:
 # The reports as a station would have sent them, field by field.
 REP = f"""SELECT event_id, ts, user_id, event_type, k, c,
   CASE WHEN event_type = 'click' AND k = '0' THEN NULL ELSE 'PK' || CAST(user_id AS VARCHAR) END AS PASSKEY,
-  'Easy Weather ' || event_type AS stationtype,
+  'Station ' || event_type AS stationtype,
   CASE WHEN event_type = 'view' AND k = '0' THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS dateutc,
   CASE WHEN event_type = 'error' THEN 'not-a-number' ELSE {_cents_text('2000 + c % 9000')} END AS tempf_text
 FROM ({EV}) e"""
@@ -169,7 +169,7 @@ ORACLE: dict[str, str] = {
     "rollup_1d": rollup_sql("1d"),
     "rollup_wide": rollup_sql("1d", aligned_sql(), fields=AGGREGATABLE_FIELDS),
     "form_decode": f"""SELECT event_id, PASSKEY, stationtype, dateutc, tempf_text AS tempf, k AS humidity,
-        'WS2900 V2.01' AS model,
+        'WX-1000 V1.0' AS model,
         CAST(10 - (CASE WHEN PASSKEY IS NULL THEN 1 ELSE 0 END)
                 - (CASE WHEN dateutc IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_keys
       FROM ({REP}) r""",
@@ -179,7 +179,7 @@ ORACLE: dict[str, str] = {
         CAST(k AS DOUBLE) AS humidity, CAST(k AS DOUBLE) AS winddir,
         CAST(29000 + c % 1000 AS DOUBLE) / 1000.0{_D} AS baromrelin,
         CAST(c AS DOUBLE) / 100.0{_D} AS windspeedmph,
-        '868M' AS freq, 'WS2900 V2.01' AS model,
+        '868M' AS freq, 'WX-1000 V1.0' AS model,
         CASE WHEN event_type = 'error' THEN 'tempf' ELSE '' END AS invalid_fields
       FROM ({REP}) r""",
     "parse_times": """SELECT event_id,

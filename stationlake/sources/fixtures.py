@@ -119,7 +119,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [
         F.when(~((etype == "click") & (k == "0")),
                F.concat(F.lit("PASSKEY="), station_key(F.col("user_id")))),
-        F.concat(F.lit("stationtype="), F.url_encode(F.concat(F.lit("Easy Weather "), etype))),
+        F.concat(F.lit("stationtype="), F.url_encode(F.concat(F.lit("Station "), etype))),
         F.when(~((etype == "view") & (k == "0")),
                F.concat(F.lit("dateutc="), F.url_encode(dateutc))),
         F.concat(F.lit("tempf="), tempf),
@@ -128,7 +128,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("baromrelin=29."), F.lpad((c % 1000).cast("string"), 3, "0")),
         F.concat(F.lit("windspeedmph="), _cents_text(c)),
         F.lit("freq=868M"),
-        F.concat(F.lit("model="), F.url_encode(F.lit("WS2900 V2.01"))),
+        F.concat(F.lit("model="), F.url_encode(F.lit("WX-1000 V1.0"))),
     ]
     return ev.select(
         F.col("event_id"),

@@ -40,7 +40,7 @@ def run(spark, bodies, stations=None):
 
 
 def test_valid_report_stored_under_station_id(spark):
-    acc, rej = run(spark, [report(**BASE, model="WS2350_V2.40", freq="433M")])
+    acc, rej = run(spark, [report(**BASE, model="MODEL_A1", freq="433M")])
     assert rej == {}
     rows = acc.collect()
     assert len(rows) == 1
@@ -49,7 +49,7 @@ def test_valid_report_stored_under_station_id(spark):
     assert r["timestamp"] == datetime(2026, 7, 17, 7, 0, 27)
     assert r["temp_c"] == pytest.approx(33.2222, abs=1e-4)
     assert r["thi"] == pytest.approx(82.8768, abs=1e-4)
-    assert r["model"] == "WS2350_V2.40" and r["freq"] == "433M"
+    assert r["model"] == "MODEL_A1" and r["freq"] == "433M"
     assert acc.columns == raw_schema().fieldNames() + ["seq"]
 
 
