@@ -78,6 +78,10 @@ def modes_long(bucketed: DataFrame, fields: list[str]) -> DataFrame:
     a field repeats in a bucket, every count is 1 and the mode is the
     smallest value, i.e. the field's ``_min``; ``rollup`` fills it from
     there.  For continuous readings this drops most rows before the pick.
+
+    The long rows repeat the station key once per field value.  Stored
+    files are sorted by station, so rows of one station leave a task
+    together and block compression of the shuffle absorbs most of that.
     """
     keys = [STATION_COL, TIMESTAMP_COL]
     pairs = F.array(*[
