@@ -34,7 +34,6 @@ def test_rollup_scans_only_needed_columns(spark, name):
 def test_store_range_read_is_pushed_down(spark, scratch):
     from datetime import datetime
 
-
     from stationlake.operators.ingest import align
     from stationlake.schema import raw_schema
     from stationlake.sources import store
