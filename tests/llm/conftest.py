@@ -1,0 +1,21 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+SF001 = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    rows = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").collect()
+    return [(r.doc_id, r.text) for r in rows]
+
+
+@pytest.fixture(scope="session")
+def pages(spark):
+    rows = spark.read.parquet(f"{SF001}/pages.parquet").collect()
+    return [(r.page_id, r.url, r.html) for r in rows]

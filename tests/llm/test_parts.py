@@ -1,0 +1,208 @@
+"""Units of the corpus operators on made inputs."""
+
+import io
+import random
+from itertools import combinations
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stationlake.llm import bpe, html_diff, license_rules, line_dedup, packing, quality_rules, simhash, warc
+
+RANKS = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+CODEC = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_bpe_any_text(text):
+    ids = CODEC.encode(text)
+    assert ids.tolist() == LIBRARY.encode_ordinary(text)
+    assert CODEC.decode(ids) == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aehtinrs THE'éü\n\t1234567890.!*#", max_size=80))
+def test_bpe_dense_text(text):
+    assert CODEC.encode(text).tolist() == LIBRARY.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 9000, " " * 9000, "the" * 4000, "ab\n" * 500, "é" * 5000, "=-" * 6000, "\x1c \x85 x"])
+def test_bpe_long_pieces(text):
+    ids = CODEC.encode(text)
+    assert ids.tolist() == LIBRARY.encode_ordinary(text)
+    assert CODEC.decode(ids, chunk=7) == text
+
+
+def test_bpe_emits_before_the_end_and_survives_small_state_tables():
+    small = bpe.Transducer(RANKS, max_states=50)
+    piece = ("internationalisation" * 600).encode()
+    parts = list(small.run(piece, window=64))
+    assert len(parts) > 100
+    assert [t for p in parts for t in p] == CODEC.transducer.merge(piece)
+    assert len(small.states) <= 51
+
+
+@given(st.binary(max_size=40), st.integers(1, 5))
+def test_utf8_stream_equals_whole_decoding(data, step):
+    stream = bpe.Utf8Stream()
+    parts = [stream.feed(data[i:i + step]) for i in range(0, len(data), step)]
+    assert "".join(parts) + stream.finish() == data.decode("utf-8", "replace")
+
+
+def test_perfect_hash_is_minimal_and_round_trips():
+    rng = np.random.default_rng(7)
+    hi, lo = (rng.integers(0, 2**63, 20000).astype(np.uint64) for _ in range(2))
+    hi[:100] = hi[0]  # equal in one half
+    mph = line_dedup.PerfectHash.build(hi, lo)
+    assert sorted(mph.slots(hi, lo).tolist()) == list(range(20000))
+    again = line_dedup.PerfectHash.loads(*mph.dumps())
+    assert (again.slots(hi, lo) == mph.slots(hi, lo)).all() and again.size == 20000
+    assert (mph.slots(lo, hi) == -1).any()  # strangers often meet no set bit
+
+
+@given(st.lists(st.integers(0, 5), max_size=25), st.lists(st.integers(0, 5), max_size=25))
+def test_common_lines_is_a_longest_common_subsequence(a, b):
+    found = sorted(html_diff.common_lines(a, b))
+    assert len(found) == brute.lcs_length(a, b)
+    it = iter(b)
+    assert all(a[i] in it for i in found)
+
+
+def test_page_lines():
+    page = ("<title>T</title><nav><ul><li>Menu</ul></nav><div class='site-ad'>Buy<div>now</div></div>"
+            "<article><header><h1>A &amp; B</h1></header><p>one<br>two <b>th</b>ree<script>if(a<b)x='</p>'</script>"
+            "<p>four &lt;x&gt;<div id=comments><p>first!</div><form>mail</form></article><p>tail<footer>f</footer> <p")
+    assert [x for z, x in html_diff.lines_of(page) if z == html_diff.MAIN] == ["A & B", "one two three", "four <x>"]
+    assert [x for z, x in html_diff.lines_of(page) if z == html_diff.BODY] == ["tail"]
+    assert html_diff.lines_of("") == []
+    assert html_diff.lines_of("<nav>never closed <article>text</article>") == [(0, "never closed"), (2, "text")]
+
+
+def test_pages_without_article_lose_what_their_neighbour_has(spark):
+    site = "<p>Site name</p>{}<p>Imprint and terms</p>"
+    rows = [(k, f"http://h/a/{k}", site.format(f"<p>Story {k}</p>")) for k in range(4)] + [(9, "http://lone/", "<p>Solo</p>")]
+    got = {r.page_id: r.text for r in html_diff.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"Story {k}" for k in range(4)}, 9: "Solo"}
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_versions(version):
+    fields = " ".join(warc.ARC_FIELDS[version])
+    block = f"{version} 0 someone\n{fields}\n"
+    body = "HTTP/1.0 200 OK\r\n\r\nline\nfiledesc://fake 1 2 3 4\n"
+    values = {"URL": "http://a/b", "IP-address": "1.2.3.4", "Archive-date": "19970101120000", "Content-type": "text/html",
+              "Result-code": "200", "Checksum": "x", "Location": "-", "Offset": "0", "Filename": "f", "Archive-length": str(len(body))}
+    data = f"filedesc://f.arc 0.0.0.0 19970101 text/plain {len(block)}\n{block}\n" + "\n".join(
+        " ".join(values[f] for f in warc.ARC_FIELDS[version]) + "\n" + body for _ in range(3)) + "\n"
+    got = list(warc.parse_arc(io.BytesIO(data.encode())))
+    assert len(got) == 3 and all(c.decode() == body and h["Archive-date"] == "19970101120000" for h, c in got)
+
+
+def test_arc_refuses_damage():
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse_arc(io.BytesIO(b"http://a 0.0.0.0 1997 text/html 50\nshort")))
+    with pytest.raises(ValueError, match="malformed"):
+        list(warc.parse_arc(io.BytesIO(b"no header\n")))
+
+
+def test_optimal_bounds_is_optimal():
+    rng = random.Random(3)
+    for _ in range(40):
+        steps = sorted(rng.sample(range(1, 30), rng.randint(1, 9)))
+        hist = [(s * 32, n := rng.randint(1, 20), n * (s * 32 - rng.randint(0, 31))) for s in steps]
+        k = rng.randint(1, 4)
+
+        def padding(bounds):
+            return sum(min(b for b in bounds if b >= s) * n - t for s, n, t in hist)
+        best = min(padding((*c, hist[-1][0])) for r in range(k) for c in combinations([h[0] for h in hist[:-1]], r))
+        bounds = packing.optimal_bounds(hist, k)
+        assert padding(bounds) == best and len(bounds) <= k
+
+
+def test_simhash_tiles_and_long_chains(spark):
+    """A file far over the tile size, a chain of links, and lone points."""
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    near = {centre}
+    while len(near) < 300:
+        x = rng.choice(list(near))
+        for _ in range(rng.randint(1, 5)):
+            x ^= 1 << rng.randrange(12)
+        near.add(x)
+    chain = [rng.getrandbits(64)]
+    for k in range(20):
+        chain.append(chain[-1] ^ (0b111 << 3 * k))
+    every = list(near | set(chain) | {rng.getrandbits(64) for _ in range(100)})
+    signed = [simhash._signed(x) for x in every]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    parent = {x: x for x in every}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in combinations(every, 2):
+        if (a ^ b).bit_count() <= 3:
+            parent[find(a)] = find(b)
+    links = simhash.links(df, 3, 6, tile=32)
+    roots = {r.node: r.root for r in simhash.components(links).collect()}
+    groups = {}
+    for x, s in zip(every, signed):
+        groups.setdefault(find(x), set()).add(roots.get(s, s))
+    assert all(len(g) == 1 for g in groups.values())
+    assert len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_repeat_windows(spark):
+    texts = ["", "a b c d e", "a b c d e a b c d e", "x " * 30, "a b c d e f g a b c d e f", "a b c d e z a b c d e y a b c d e",
+             "\n\t", "q w e r t y u i o p " * 7]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: tuple(r._stats)[:3] for r in quality_rules.with_statistics(df).collect()}
+    for t in texts:
+        n, chars, _, _, repeat, _ = brute.quality_stats(t)
+        assert got[t] == (n, chars, repeat)
+
+
+def test_learned_rules_are_conjunctions_in_order(spark):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(4000):
+        words, symbols = rng.random() * 100, rng.random()
+        bad = (symbols > 0.6 and words > 30) or words < 5
+        x = {f: 0.0 for f in quality_rules.FEATURES} | {"n_words": words, "symbols_per_word": symbols}
+        rows.append((bad, tuple(x[f] for f in quality_rules.FEATURES), rng.random() < 0.66))
+    schema = f"bad boolean, x struct<{','.join(f + ':double' for f in quality_rules.FEATURES)}>, growing boolean"
+    rules = quality_rules.learn(spark.createDataFrame(rows, schema))
+    assert rules and all(1 <= len(r) <= 3 for r in rules)
+    names = list(quality_rules.FEATURES)
+
+    def hit(x):
+        return any(all((x[names.index(c.feature)] >= c.threshold) == c.at_least for c in r) for r in rules)
+    assert sum(hit(x) == bad for bad, x, _ in rows) >= 0.96 * len(rows)
+
+
+def test_license_rules_and_suppression(spark):
+    assert len(license_rules.rules()) > 250
+    texts = {
+        "Licensed under the Apache License, Version 2.0.": {"apache-2.0"},
+        "Released under the MIT license.": {"mit"},
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl", "gpl-3"},
+        "Licensed under CC BY-NC 4.0.": {"cc-by", "cc-by-nc"},
+        "All rights reserved.": {"reserved"},
+        "Copyright (c) 2019 Someone": {"copyright"},
+        "nothing here, mitten": set(),
+        "SPDX-License-Identifier: BSD-3-Clause": {"spdx"},
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_rules.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert texts[t] <= got[i], t
+        assert bool(got[i]) == bool(texts[t])
+    assert "cc-by-nc" in got[3] and "apache" not in got[0]  # the bare name lies inside the notice
