@@ -92,10 +92,15 @@ def test_exact(docs, empty):
 def test_bpe(spark, docs, empty):
     import public_tokenizers
 
-    encode, decode = bpe.tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = docs.select("doc_id", "text", encode("text").alias("ids")).select("*", decode("ids").alias("back"))
-    assert all(r.back == (r.text or "") for r in out.collect())
-    assert empty.select(encode("text").alias("ids")).select(decode("ids")).count() == 0
+    coder = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = coder.encode(docs, "text", "ids", keep=["doc_id", "text", "id"])
+    out = coder.decode(ids, "ids", "back", keep=["doc_id", "text", "id"])
+    assert out.columns == ["doc_id", "text", "id", "back"]
+    rows = out.collect()
+    assert len(rows) == len(ROWS) and all(r.back == (r.text or "") and r.id == "clash" for r in rows)
+    assert coder.decode(coder.encode(empty, "text", "ids", ["doc_id"]), "ids", "back", ["doc_id"]).count() == 0
+    none = ids.select("doc_id", F.lit(None).cast("array<int>").alias("ids"))
+    assert {r.back for r in coder.decode(none, "ids", "back", ["doc_id"]).collect()} == {""}
 
 
 def test_shards(docs, empty):
