@@ -21,9 +21,11 @@ def _col(c: Column | str) -> Column:
 
 
 def _unquote_plus(c: Column) -> Column:
-    """``+`` -> space, then %XX; a malformed escape leaves the text as is."""
-    spaced = F.regexp_replace(c, r"\+", " ")
-    return F.coalesce(F.try_url_decode(c), spaced)
+    """``+`` -> space, then every valid %XX; a malformed escape stays as text.
+
+    A lone ``%`` is escaped itself before decoding, so the valid escapes
+    around it are decoded; bytes that are no UTF-8 become U+FFFD."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def form_pairs(body: Column | str) -> Column:

@@ -75,7 +75,7 @@ def parse_iso(c: Column | str) -> Column:
     """ISO-8601 text (trailing ``Z``, ``+HH:MM`` or naive) -> UTC NTZ.
 
     Naive text means UTC (F8); a bare date means midnight.  Malformed text
-    gives null; callers that must fail use ``require_valid``.
+    gives null.
     """
     s = F.trim(_col(c))
     dated = F.when(s.rlike(ISO_DATE_ONLY), F.concat(s, F.lit(" 00:00:00"))).otherwise(s)
@@ -109,8 +109,7 @@ def bucket(ts: Column | str, interval: str) -> Column:
     session zone (``date_trunc`` on NTZ would: it returns an instant and
     shifts times on DST days).  Any number of buckets may share a select.
     """
-    if interval not in INTERVALS:
-        raise ValueError(f"interval must be one of {list(INTERVALS)}, got {interval!r}")
+    known_interval(interval)
     t = _col(ts)
     if interval == "1d":
         return F.to_date(t).cast("timestamp_ntz")
@@ -118,15 +117,8 @@ def bucket(ts: Column | str, interval: str) -> Column:
     return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), minute, F.lit(0))
 
 
-def bucket_instant(ts: Column | str, interval: str) -> Column:
-    """F10 for TIMESTAMP (instant) columns: UTC-aligned bucket start, via
-    ``window`` on epoch micros (one ``window`` per select)."""
-    if interval not in INTERVALS:
-        raise ValueError(f"interval must be one of {list(INTERVALS)}, got {interval!r}")
-    return F.window(_col(ts), INTERVALS[interval]).start
-
-
-def bucket_width_micros(interval: str) -> int:
+def known_interval(interval: str) -> str:
+    """The granularity itself, or an error that names the known ones."""
     if interval not in INTERVALS:
-        raise ValueError(f"interval must be one of {list(INTERVALS)}, got {interval!r}")
-    return {"1m": 60, "1h": 3600, "1d": 86400}[interval] * 1_000_000
+        raise ValueError(f"no granularity is called {interval!r}; there are {', '.join(INTERVALS)}")
+    return interval

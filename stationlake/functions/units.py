@@ -29,6 +29,7 @@ RAIN_FIELDS: dict[str, str] = {
     "totalrainin": "totalrain_mm",
 }
 VPD_FIELDS: dict[str, str] = {"vpd": "vpd_kpa"}
+FIELD_MAPS = [TEMPERATURE_FIELDS, PRESSURE_FIELDS, WIND_SPEED_FIELDS, RAIN_FIELDS, VPD_FIELDS]
 # ---------------------------------------------------------------------------
 
 
@@ -41,10 +42,6 @@ def fahrenheit_to_celsius(c: Column | str) -> Column:
     return (_col(c) - F.lit(32.0)) / F.lit(1.8)
 
 
-def celsius_to_fahrenheit(c: Column | str) -> Column:
-    return _col(c) * F.lit(1.8) + F.lit(32.0)
-
-
 def kelvin_to_celsius(c: Column | str) -> Column:
     return _col(c) - F.lit(273.15)
 

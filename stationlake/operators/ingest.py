@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from stationlake.functions.text import with_form
 from stationlake.functions.times import parse_dateutc
 from stationlake.operators.metric import to_metric
-from stationlake.operators.stations import passkey_digest, station_mapping
+from stationlake.operators.stations import with_station
 from stationlake.schema import (EXTRA_STRING_FIELDS, NUMERIC_PAYLOAD_FIELDS, PAYLOAD_FIELDS,
                                 STRING_PAYLOAD_FIELDS, raw_schema)
 
@@ -39,7 +39,9 @@ def parse_number(c: Column) -> Column:
     the cast: with two dozen fields in one projection, the generated code
     of the CASE WHEN form ran about three times slower.
     """
-    return c.try_cast("double") * F.when(c.rlike(NUMBER_SHAPE), F.lit(1.0))
+    value = c.try_cast("double")
+    # Digits that overflow (1e999) are infinite: x - x is 0 for finite x only.
+    return value * F.when(c.rlike(NUMBER_SHAPE) & (value - value == 0.0), F.lit(1.0))
 
 
 def type_report(df: DataFrame, form_col: str = "form") -> DataFrame:
@@ -85,7 +87,7 @@ def reject_reason(has_station: Column) -> Column:
     )
 
 
-def check_forms(forms: DataFrame, stations: DataFrame, form_col: str = "form") -> DataFrame:
+def check_forms(forms: DataFrame, stations: DataFrame, pepper: str, form_col: str = "form") -> DataFrame:
     """Typed reports (from a decoded form map) with ``station_id`` and
     ``reject_reason``.
 
@@ -93,24 +95,22 @@ def check_forms(forms: DataFrame, stations: DataFrame, form_col: str = "form") -
     one row per key, so it never multiplies report rows.
     """
     typed = type_report(forms, form_col)
-    keyed = typed.withColumn("_digest", passkey_digest(F.col("PASSKEY")))
-    mapping = station_mapping(stations).withColumnRenamed("passkey_digest", "_digest")
-    joined = keyed.join(mapping, "_digest", "left").drop("_digest")
+    joined = with_station(typed, stations, F.col("PASSKEY"), pepper)
     return joined.withColumn("reject_reason", reject_reason(F.col("station_id").isNotNull()))
 
 
-def decode_and_check(reports: DataFrame, stations: DataFrame, body_col: str = "body") -> DataFrame:
+def decode_and_check(reports: DataFrame, stations: DataFrame, pepper: str, body_col: str = "body") -> DataFrame:
     """``check_forms`` on urlencoded report bodies."""
-    return check_forms(with_form(reports, body_col), stations)
+    return check_forms(with_form(reports, body_col), stations, pepper)
 
 
 def accepted_rows(checked: DataFrame, seq_col: str = "received") -> DataFrame:
     """P4 + P8 + P5: valid reports as raw-schema rows plus ``seq``."""
     ok = checked.filter(F.col("reject_reason").isNull())
     renamed = ok.withColumns({"timestamp": F.col("dateutc"), "PASSKEY": F.col("station_id")})
-    metric = to_metric(renamed)
     # Working columns (form, checks, report ids) are not part of the table.
-    return align(metric, raw_schema(), on_unknown="drop", keep=[seq_col]).withColumnRenamed(seq_col, "seq")
+    own = ["timestamp", *PAYLOAD_FIELDS, *EXTRA_STRING_FIELDS, seq_col]
+    return align(to_metric(renamed.select(*own)), raw_schema(), keep=[seq_col]).withColumnRenamed(seq_col, "seq")
 
 
 def rejected(checked: DataFrame, id_cols: list[str]) -> DataFrame:
@@ -118,27 +118,27 @@ def rejected(checked: DataFrame, id_cols: list[str]) -> DataFrame:
     return checked.filter(F.col("reject_reason").isNotNull()).select(*id_cols, "reject_reason")
 
 
-def ingest(reports: DataFrame, stations: DataFrame, body_col: str = "body",
+def ingest(reports: DataFrame, stations: DataFrame, pepper: str, body_col: str = "body",
            seq_col: str = "received") -> tuple[DataFrame, DataFrame]:
     """Full write path for a batch: (accepted raw rows, rejects)."""
-    checked = decode_and_check(reports, stations, body_col)
+    checked = decode_and_check(reports, stations, pepper, body_col)
     keep = [c for c in reports.columns if c != body_col]
     return accepted_rows(checked, seq_col), rejected(checked, keep)
 
 
 def align(df: DataFrame, schema: T.StructType, on_unknown: str = "fail",
-          keep: list[str] | None = None, strict: bool = False) -> DataFrame:
+          keep: list[str] | None = None, strict: bool = True) -> DataFrame:
     """Schema order, typed null for missing columns.
 
     Unknown columns fail (``on_unknown="fail"``) or are dropped ("drop");
-    ``keep`` names extra columns carried at the end.  Casts use ``try_cast``
-    unless ``strict``, where an uncastable value fails the job (ANSI cast).
+    ``keep`` names extra columns carried at the end.  An uncastable value
+    fails the job (ANSI cast); with ``strict=False`` it becomes null.
     """
     keep = keep or []
     names = set(schema.fieldNames())
     unknown = [c for c in df.columns if c not in names and c not in keep]
     if unknown and on_unknown == "fail":
-        raise ValueError(f"Unknown column(s) not in schema: {sorted(unknown)}")
+        raise ValueError(f"the table has no column for {', '.join(sorted(unknown))}")
     cols = []
     for f in schema.fields:
         if f.name in df.columns:
@@ -149,6 +149,3 @@ def align(df: DataFrame, schema: T.StructType, on_unknown: str = "fail",
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.select(*cols, *keep)
 
-
-def numeric_fields_present(df: DataFrame) -> list[str]:
-    return [f for f in NUMERIC_PAYLOAD_FIELDS if f in df.columns]

@@ -27,9 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.functions.times import bucket
-from stationlake.schema import (AGGREGATABLE_FIELDS, INTERVALS, ROLLUP_STATS, STATION_COL,
-                                TIMESTAMP_COL, rollup_schema, stat_column)
+from stationlake.functions.times import bucket, known_interval
+from stationlake.schema import AGGREGATABLE_FIELDS, ROLLUP_STATS, STATION_COL, TIMESTAMP_COL, stat_column
 
 MODE_STRATEGIES = ("split", "inline")
 
@@ -106,8 +105,7 @@ def rollup(df: DataFrame, interval: str, fields: list[str] | None = None,
     Fields missing from ``df`` are skipped (the writer null-fills them);
     an unknown interval is an error; empty input gives an empty frame.
     """
-    if interval not in INTERVALS:
-        raise ValueError(f"interval must be one of {list(INTERVALS)}, got {interval!r}")
+    known_interval(interval)
     if mode_strategy not in MODE_STRATEGIES:
         raise ValueError(f"mode_strategy must be one of {MODE_STRATEGIES}")
     fields = present_fields(df, fields)
@@ -125,13 +123,3 @@ def rollup(df: DataFrame, interval: str, fields: list[str] | None = None,
     ordered = [TIMESTAMP_COL, STATION_COL, "sample_count"] + [
         stat_column(f, s) for f in fields for s in ROLLUP_STATS]
     return out.select(*ordered)
-
-
-def rollup_all(df: DataFrame, intervals: list[str] | None = None,
-               mode_strategy: str = "split") -> dict[str, DataFrame]:
-    """Every granularity from the same (latest-wins) raw rows."""
-    return {i: rollup(df, i, mode_strategy=mode_strategy) for i in (intervals or list(INTERVALS))}
-
-
-def empty_rollup(spark, timestamp_type=None) -> DataFrame:
-    return spark.createDataFrame([], rollup_schema(timestamp_type))

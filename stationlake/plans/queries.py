@@ -8,20 +8,20 @@ the matching SQL in ``plans/oracle.py``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.functions import units
 from stationlake.functions.text import split_csv, with_form
-from stationlake.functions.times import bucket, ensure_utc, ntz_lit, parse_dateutc, parse_iso
+from stationlake.functions.times import bucket, parse_dateutc, parse_iso
 from stationlake.operators import ingest, stations
 from stationlake.operators.rollup import rollup
 from stationlake.operators.upsert import last_row, latest_wins, union_evolved
-from stationlake.schema import AGGREGATABLE_FIELDS, STATION_COL, TIMESTAMP_COL, raw_schema
+from stationlake.schema import (AGGREGATABLE_FIELDS, INTERVALS, NUMERIC_PAYLOAD_FIELDS, ROLLUP_STATS, STATION_COL,
+                                TIMESTAMP_COL, raw_schema, stat_column)
 from stationlake.sources import fixtures
-from stationlake.sources.store import range_filter, resolve
+from stationlake.sources.store import range_of, resolve
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -34,8 +34,11 @@ ROLLUP_RANGE_START = "2024-01-10T00:30:00Z"    # not on a bucket edge
 ROLLUP_RANGE_END = "2024-01-12 12:15:00"       # naive = UTC
 EVOLVED_FROM = "2024-01-15 00:00:00"           # rows before lack `thi`
 NEW_STATION_ORDINAL_BASE = 1_000_000_000_000
-USAGE_WARNING_GB = 0.001
-USAGE_ERROR_GB = 0.003
+USAGE_WARNING_GB = 0.00001                     # per station: a fixture station sends some 10 KB
+USAGE_ERROR_GB = 0.00003
+SHOWN_RECORDS = (1, 2, 6, 7)                   # access records: one station, many, many, none
+CORRECTED = 10                                 # readings that come again with tempf + 1, by seq modulo 50
+CORRECTED_SEQ = 1_000_000_000_000
 # ------------------------------------------------------------------------------
 
 READING_COLUMNS = [
@@ -79,7 +82,7 @@ for _interval in ("1m", "1h", "1d"):
 @register("rollup_wide")
 def rollup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: all 38 fields x 5 stats (193 columns) over the aligned raw table."""
-    aligned = ingest.align(fixtures.readings(spark, sf_dir), raw_schema(), on_unknown="drop")
+    aligned = ingest.align(fixtures.wide_readings(spark, sf_dir).drop("seq"), raw_schema())
     return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS))
 
 
@@ -93,7 +96,7 @@ def form_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         f["PASSKEY"].alias("PASSKEY"), f["stationtype"].alias("stationtype"),
         f["dateutc"].alias("dateutc"), f["tempf"].alias("tempf"), f["humidity"].alias("humidity"),
-        f["model"].alias("model"),
+        f["model"].alias("model"), f["freq"].alias("freq"), f["uv"].alias("uv"),
         F.size(F.map_keys(f)).cast("bigint").alias("n_keys"),
     )
 
@@ -103,8 +106,7 @@ def typed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep = with_form(fixtures.reports(spark, sf_dir))
     t = ingest.type_report(rep)
     return t.select(
-        "event_id", "PASSKEY", "stationtype", "dateutc", "tempf", "humidity", "winddir",
-        "baromrelin", "windspeedmph", "freq", "model",
+        "event_id", "PASSKEY", "stationtype", "dateutc", *NUMERIC_PAYLOAD_FIELDS, "freq", "model",
         F.array_join("invalid_fields", ",").alias("invalid_fields"),
     )
 
@@ -129,7 +131,13 @@ def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.decode_and_check(fixtures.reports(spark, sf_dir), fixtures.stations(spark, sf_dir))
+    return ingest.decode_and_check(fixtures.reports(spark, sf_dir), fixtures.stations(spark, sf_dir), fixtures.PEPPER)
+
+
+@register("ingest_accepted")
+def ingest_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 43 columns that ingest stores, latest arrival per key."""
+    return latest_wins(ingest.accepted_rows(_checked(spark, sf_dir)))
 
 
 @register("rejected_reports")
@@ -141,7 +149,8 @@ def rejected_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("to_metric")
 def to_metric_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _readings(spark, sf_dir)
+    """All 14 conversions and the index, over all 23 numeric fields."""
+    return fixtures.wide_readings(spark, sf_dir)
 
 
 @register("unit_functions")
@@ -189,7 +198,10 @@ def union_evolved_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("scan_station")
 def scan_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _readings(spark, sf_dir).filter(F.col(STATION_COL) == SCAN_STATION)
+    r = _readings(spark, sf_dir)
+    again = r.filter(F.col("seq") % 50 == CORRECTED).withColumns(
+        {"seq": F.col("seq") + CORRECTED_SEQ, "tempf": F.col("tempf") + 1.0})
+    r = r.unionByName(again).filter(F.col(STATION_COL) == SCAN_STATION)
     aligned = ingest.align(r, raw_schema(), keep=["seq"])
     return resolve(aligned, "raw")
 
@@ -201,28 +213,12 @@ def latest_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("range_scan")
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_filter(_readings(spark, sf_dir), RANGE_START, RANGE_END).orderBy(TIMESTAMP_COL)
-
-
-def rollup_range(df: DataFrame, interval: str, start, end) -> DataFrame:
-    """Rollup buckets starting in [start, end], reading only the raw rows
-    that can fall in them: ts >= start rounded up to a bucket edge and
-    ts < (end rounded down) + one bucket."""
-    s, e = ensure_utc(start), ensure_utc(end)
-    width = {"1m": timedelta(minutes=1), "1h": timedelta(hours=1), "1d": timedelta(days=1)}[interval]
-    epoch = s.replace(year=1970, month=1, day=1, hour=0, minute=0, second=0, microsecond=0)
-    floor_s = epoch + ((s - epoch) // width) * width
-    lo = floor_s if floor_s == s else floor_s + width
-    hi = epoch + ((e - epoch) // width) * width + width
-    ts = F.col(TIMESTAMP_COL)
-    pruned = df.filter((ts >= ntz_lit(lo)) & (ts < ntz_lit(hi)))
-    return range_filter(rollup(pruned, interval), s, e)
+    return range_of("raw", _readings(spark, sf_dir), RANGE_START, RANGE_END).orderBy(TIMESTAMP_COL)
 
 
 @register("range_scan_1h")
 def range_scan_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_stats(rollup_range(fixtures.readings(spark, sf_dir), "1h",
-                                    ROLLUP_RANGE_START, ROLLUP_RANGE_END))
+    return round_stats(range_of("1h", fixtures.readings(spark, sf_dir), ROLLUP_RANGE_START, ROLLUP_RANGE_END))
 
 
 @register("upsert_latest_wins")
@@ -231,32 +227,44 @@ def upsert_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_wins(daily, [STATION_COL, TIMESTAMP_COL], seq="seq")
 
 
-def last_buckets(df: DataFrame, interval: str) -> DataFrame:
-    """K5: each station's last bucket only.  The newest timestamp per station
-    is found first (an aggregate), then only that bucket's rows are rolled
-    up - not the station's whole history."""
-    newest = df.groupBy(STATION_COL).agg(F.max(TIMESTAMP_COL).alias("_last"))
-    lastb = newest.select(STATION_COL, bucket("_last", interval).alias("_b"))
-    rows = (df.withColumn("_b", bucket(TIMESTAMP_COL, interval))
-            .join(lastb, [STATION_COL, "_b"], "left_semi").drop("_b"))
-    return rollup(rows, interval)
+def feed_of(df: DataFrame, fields: list[str]) -> DataFrame:
+    """K5: each station's newest reading and its last bucket of every
+    granularity, as full rows.
+
+    The last minute and hour lie inside the last day, so the newest time per
+    station is found once, one semi-join narrows the readings to the last
+    days, and each row is dealt to the channels whose last bucket holds it: one
+    aggregate makes all channels.  A group is one station's day at most, so
+    its mode is counted in the same aggregate.
+    """
+    newest = df.groupBy(F.col(STATION_COL).alias("_station")).agg(F.max(TIMESTAMP_COL).alias("_last"))
+    last_day = df.join(newest, (F.col(STATION_COL) == F.col("_station"))
+                       & (bucket(TIMESTAMP_COL, "1d") == bucket("_last", "1d")))
+    channels = F.array(
+        F.when(F.col(TIMESTAMP_COL) == F.col("_last"), F.struct(F.lit("raw").alias("data_type"), F.col("_last").alias("at"))),
+        *[F.when(bucket(TIMESTAMP_COL, i) == bucket("_last", i), F.struct(F.lit(i).alias("data_type"), bucket("_last", i).alias("at")))
+          for i in INTERVALS])
+    dealt = last_day.select(STATION_COL, "seq", F.explode(F.array_compact(channels)).alias("c"), *fields)
+    raw = F.first("c.data_type") == "raw"
+
+    def stat(name: str, f: str) -> Column:
+        c = F.col(f)
+        if name == "avg":  # a raw message carries the reading itself
+            return F.when(raw, F.max_by(c, "seq")).otherwise(F.avg(c))
+        made = {"min": F.min, "max": F.max, "std": F.stddev_samp, "mode": lambda x: F.mode(x, deterministic=True)}[name](c)
+        return F.when(~raw, made)
+
+    return (dealt.groupBy(STATION_COL, "c").agg(
+        F.when(~raw, F.count("*")).alias("sample_count"),
+        *[stat(name, f).alias(stat_column(f, name)) for f in fields for name in ROLLUP_STATS])
+        .select("c.data_type", STATION_COL, F.col("c.at").alias(TIMESTAMP_COL), "sample_count",
+                *[stat_column(f, name) for f in fields for name in ROLLUP_STATS]))
 
 
 @register("feed_latest_bucket")
 def feed_latest_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fixtures.readings(spark, sf_dir)
-    raw = last_row(r.select(*READING_COLUMNS)).select(
-        F.lit("raw").alias("data_type"), STATION_COL, TIMESTAMP_COL,
-        F.lit(None).cast("bigint").alias("sample_count"), F.col("tempf"))
-    parts = [raw]
-    for interval in ("1m", "1h", "1d"):
-        lb = last_buckets(r, interval)
-        parts.append(lb.select(F.lit(interval).alias("data_type"), STATION_COL, TIMESTAMP_COL,
-                               "sample_count", F.round("tempf_avg", 9).alias("tempf")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fields = [f for f in AGGREGATABLE_FIELDS if f in READING_COLUMNS]
+    return round_stats(feed_of(fixtures.readings(spark, sf_dir), fields))
 
 
 # --- J1-J8, F11, F12 ----------------------------------------------------------
@@ -269,36 +277,74 @@ def _decoded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("station_resolve")
 def station_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stations.resolve_stations(_decoded_keys(spark, sf_dir),
-                                     fixtures.stations(spark, sf_dir)).select("event_id", "station_id")
+                                     fixtures.stations(spark, sf_dir), fixtures.PEPPER).select("event_id", "station_id")
 
 
 @register("station_unknown")
 def station_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stations.unknown_stations(_decoded_keys(spark, sf_dir),
-                                     fixtures.stations(spark, sf_dir)).select("event_id", "PASSKEY")
+                                     fixtures.stations(spark, sf_dir), fixtures.PEPPER).select("event_id", "PASSKEY")
+
+
+def _migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stations.migrate_scopes(fixtures.scopes(spark, sf_dir), fixtures.stations(spark, sf_dir), fixtures.PEPPER)
 
 
 @register("scope_migrate")
 def scope_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = stations.migrate_scopes(fixtures.scopes(spark, sf_dir), fixtures.stations(spark, sf_dir))
-    return m.select(
-        "title",
+    return _migrated(spark, sf_dir).select(
+        "ordinal", "title",
         F.array_join("weatherstations", ",").alias("weatherstations"),
         F.array_join("unresolved", ",").alias("unresolved"),
         F.size("unresolved").cast("bigint").alias("n_unresolved"),
     )
 
 
+@register("scope_migrate_strict")
+def scope_migrate_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 on the records that a first look finds resolvable."""
+    fine = _migrated(spark, sf_dir).filter(F.size("unresolved") == 0).select("ordinal")
+    strict = stations.resolve_scopes_strict(fixtures.scopes(spark, sf_dir).join(fine, "ordinal", "left_semi"),
+                                            fixtures.stations(spark, sf_dir), fixtures.PEPPER)
+    return strict.select("ordinal", "title", F.array_join("weatherstations", ",").alias("weatherstations"))
+
+
+def _accepted_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted, _ = ingest.ingest(fixtures.reports(spark, sf_dir), fixtures.stations(spark, sf_dir), fixtures.PEPPER)
+    return accepted.select(STATION_COL, "seq")
+
+
 @register("scope_stations")
 def scope_stations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allow = fixtures.stations(spark, sf_dir)
-    accepted, _ = ingest.ingest(fixtures.reports(spark, sf_dir), allow)
-    migrated = stations.migrate_scopes(fixtures.scopes(spark, sf_dir), allow)
-    return stations.visible_counts(accepted, migrated)
+    """The readings that some access records see, record by record."""
+    accepted, scopes = _accepted_stations(spark, sf_dir), _migrated(spark, sf_dir)
+    out = None
+    for ordinal in SHOWN_RECORDS:
+        rows = stations.scope_stations(accepted, scopes, ordinal).select(
+            F.lit(ordinal).cast("bigint").alias("ordinal"), STATION_COL, "seq")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("scope_visible")
+def scope_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 counted for every access record."""
+    return stations.visible_counts(_accepted_stations(spark, sf_dir), _migrated(spark, sf_dir))
 
 
 @register("scope_endpoints")
 def scope_endpoints_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records allowed on each endpoint."""
+    sc, out = fixtures.scopes(spark, sf_dir), None
+    for name in ("view", "click", "signup", "error"):
+        endpoint = fixtures.EVENT_ENDPOINTS[name]
+        rows = stations.scope_endpoints(sc, endpoint).select("ordinal", F.lit(endpoint).alias("endpoint"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("scope_endpoint_flags")
+def scope_endpoint_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     sc = fixtures.scopes(spark, sf_dir)
     names = {
         "allowed_current": fixtures.EVENT_ENDPOINTS["view"],
@@ -306,8 +352,8 @@ def scope_endpoints_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         "allowed_ws": fixtures.EVENT_ENDPOINTS["signup"],
         "allowed_storage": fixtures.EVENT_ENDPOINTS["error"],
     }
-    return sc.select("title", *[stations.allows_endpoint(F.col("endpoints"), n).alias(a)
-                                for a, n in names.items()])
+    return sc.select("ordinal", *[stations.allows_endpoint(F.col("endpoints"), n).alias(a)
+                                  for a, n in names.items()])
 
 
 @register("allowlist_insert")
@@ -320,7 +366,7 @@ def allowlist_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(fixtures.STATION_HASH_PREFIX + "600000$"),
                  F.substring(F.sha2(F.concat(F.lit("salt"), F.col("event_id").cast("string")), 256), 1, 32),
                  F.lit("$"), F.sha2(key, 256)).alias("salted_station_hash"),
-        stations.passkey_digest(key).alias("passkey_digest"),
+        stations.passkey_digest(key, fixtures.PEPPER).alias("passkey_digest"),
     )
     return stations.insert_stations(fixtures.stations(spark, sf_dir), new)
 
@@ -339,5 +385,8 @@ def split_csv_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("usage_status")
 def usage_status_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stationlake.operators.usage import usage_status
-    return usage_status(spark, sf_dir, USAGE_WARNING_GB, USAGE_ERROR_GB, glob="*.parquet")
+    """Bytes of reports per station against thresholds."""
+    from stationlake.operators.usage import report_usage
+
+    rep = with_form(fixtures.reports(spark, sf_dir))
+    return report_usage(rep, F.col("form")["PASSKEY"], F.col("body"), USAGE_WARNING_GB, USAGE_ERROR_GB)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from stationlake.functions.units import FIELD_MAPS
+
 TIMESTAMP_COL = "timestamp"
 STATION_COL = "PASSKEY"
 
@@ -23,12 +25,7 @@ PAYLOAD_FIELDS: list[str] = [
 # Payload fields kept as text; every other payload field is a double.
 STRING_PAYLOAD_FIELDS: frozenset[str] = frozenset({"PASSKEY", "stationtype", "freq"})
 # Metric fields added by the unit conversion, in schema order.
-DERIVED_FIELDS: list[str] = [
-    "temp_c", "tempin_c", "baromrel_hpa", "baromabs_hpa", "windspeed_ms",
-    "windgust_ms", "rainrate_mm", "eventrain_mm", "dailyrain_mm",
-    "weeklyrain_mm", "monthlyrain_mm", "yearlyrain_mm", "totalrain_mm",
-    "vpd_kpa", "thi",
-]
+DERIVED_FIELDS: list[str] = [metric for fields in FIELD_MAPS for metric in fields.values()] + ["thi"]
 # Extra text field sent by stations, declared by hand at the end.
 EXTRA_STRING_FIELDS: list[str] = ["model"]
 # Statistics per numeric field, in column order.

@@ -12,51 +12,33 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-# Settings for a large cluster (~100 TB of raw readings, ~1000 executors).
-# Shuffle partitions are sized for ~200 MB each at full scale and AQE
-# merges the small ones; skewed join partitions are split at run time.
-# Broadcasts stay under a measured 64 MB; dimension tables (allow-list,
-# scopes) are far below that, fact tables far above.
-CLUSTER_CONF: dict[str, str] = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
-    "spark.sql.codegen.maxFields": "1000",
-    "spark.sql.session.timeZone": "UTC",
-}
-
-
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app_name: str = "stationlake") -> SparkSession:
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
+                app_name: str = "stationlake", quiet: bool = False) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume.
 
-    AQE stays on so shuffle partitions are coalesced and skewed joins split
-    at run time; the session zone is pinned to UTC but no operator depends
-    on it (NTZ buckets come from the value's own fields, text is parsed with
-    an explicit zone).
+    Master, memory and shuffle partitions stay as spark-submit sets them
+    unless asked for.  AQE stays on, so shuffle partitions are coalesced and
+    skewed joins split at run time; no operator depends on the session zone
+    (NTZ buckets come from the value's own fields, text is parsed with an
+    explicit zone).
     """
     builder = (
-        SparkSession.builder.master(master or "local[*]")
-        .appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         # A rollup over all 38 fields carries ~270 aggregate buffer slots;
         # above the default of 100 the aggregate leaves whole-stage codegen.
         .config("spark.sql.codegen.maxFields", "1000")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("STATIONLAKE_DRIVER_MEMORY", "8g"))
     )
+    if master:
+        builder = (builder.master(master).config("spark.ui.enabled", "false")
+                   .config("spark.ui.showConsoleProgress", "false")
+                   .config("spark.driver.memory", os.environ.get("STATIONLAKE_DRIVER_MEMORY", "8g")))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    if quiet:
+        spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
@@ -83,10 +65,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) objects for ``path`` on any file system Spark knows."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hpath = hadoop_path(spark, path)
+    return fs.exists(hpath)
+
+
 def drop_staging(spark: SparkSession, path: str) -> None:
     """Delete a staging copy once the write that read it has committed."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = hadoop_path(spark, path)
     if fs.exists(hpath):
         fs.delete(hpath, True)

@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF0001
+from stationlake.plans.oracle import ORACLE
+from stationlake.plans.queries import REGISTRY
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -31,13 +33,13 @@ def con():
 
 def test_contract(spark):
     qs, sqls = entry.queries(), entry.oracle_sql()
-    assert set(sqls) <= set(qs)
+    assert set(sqls) <= set(qs) and set(ORACLE) == set(REGISTRY)
     assert len(qs) >= 27
     df = entry.entry(spark)
     assert df.count() > 0 and "sample_count" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF0001)
     cols = sorted(df.columns)
@@ -48,13 +50,3 @@ def test_query_matches_sql(spark, con, name):
     want = sorted(tuple(norm(r[i]) for i in idx) for r in rel.fetchall())
     assert len(got) == len(want)
     assert got == want
-
-
-def test_usage_query_against_file_sizes(spark):
-    import os
-    df = {r["table"]: r for r in entry.queries()["usage_status"](spark, SF0001).collect()}
-    sizes = {f[:-8]: os.path.getsize(f"{SF0001}/{f}") for f in os.listdir(SF0001) if f.endswith(".parquet")}
-    assert {k: v["size_bytes"] for k, v in df.items() if k != "*"} == sizes
-    assert df["*"]["size_bytes"] == sum(sizes.values())
-    gb = sum(sizes.values()) / 1024 ** 3
-    assert df["*"]["status"] == ("error" if gb >= 0.003 else "warning" if gb >= 0.001 else "ok")

@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF0001
+from stationlake.plans.queries import REGISTRY
 
-# The grand total attached to wildcard keys is a one-row broadcast.
+# A wildcard record is one row that every reading is paired with.
 ONE_ROW_BROADCAST = {"scope_stations"}
 
 
@@ -15,7 +16,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_python_no_cartesian(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF0001))
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas", plan)
@@ -31,16 +32,31 @@ def test_rollup_scans_only_needed_columns(spark, name):
     assert schemas == {"struct<ts:timestamp_ntz,user_id:bigint,value:double,props:string>"}
 
 
+@pytest.mark.parametrize("name,scans", [("scope_visible", 4), ("feed_latest_bucket", 2), ("upsert_latest_wins", 2),
+                                        ("latest_reading", 2), ("rollup_1h", 2)])
+def test_scans_planned(spark, name, scans):
+    """Without relying on the reuse of equal exchanges."""
+    plan = plan_of(entry.queries()[name](spark, SF0001))
+    assert len(re.findall("FileScan", plan)) <= scans
+
+
+@pytest.mark.parametrize("name", ["upsert_latest_wins", "latest_reading", "scan_station"])
+def test_winners_are_found_by_hash_aggregates(spark, name):
+    plan = plan_of(entry.queries()[name](spark, SF0001))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_store_range_read_is_pushed_down(spark, scratch):
     from datetime import datetime
 
     from stationlake.operators.ingest import align
     from stationlake.schema import raw_schema
+    from stationlake.sinks import tables
     from stationlake.sources import store
 
     rows = spark.createDataFrame([("a", datetime(2026, 7, 17, 7), 70.0, 1)],
                                  "PASSKEY string, timestamp timestamp_ntz, tempf double, seq long")
-    store.upsert(spark, align(rows, raw_schema(), keep=["seq"]), scratch)
+    tables.upsert(spark, align(rows, raw_schema(), keep=["seq"]), scratch)
     df = store.read_range(spark, scratch, "raw", "2026-07-17", "2026-07-18", station="a").select("tempf")
     plan = plan_of(df)
     assert "PartitionFilters: [isnotnull(date" in plan
