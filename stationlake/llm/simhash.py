@@ -229,6 +229,9 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = _clustered(docs, id_col, text_col, shingle, max_bits, n_blocks, tile, salts)
     stays = (found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("s"))
-             .select("s.key"))
+             .select("s.key.a", "s.key.b"))
     whole = docs.select(F.struct("*").alias("_row"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
-    return whole.join(stays, "key", "left_semi").dropDuplicates(["key"]).select("_row.*")
+    # Joined on the key's halves, the rows are already partitioned and sorted
+    # for the last step; a struct key would be shuffled again.
+    return (whole.select("_row", "key.a", "key.b").join(stays, ["a", "b"], "left_semi")
+            .dropDuplicates(["a", "b"]).select("_row.*"))
