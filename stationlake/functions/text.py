@@ -25,7 +25,10 @@ def _unquote_plus(c: Column) -> Column:
 
     A lone ``%`` is escaped itself before decoding, so the valid escapes
     around it are decoded; bytes that are no UTF-8 become U+FFFD."""
-    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    decoded = F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    # Most fields are plain numbers: nothing to decode.
+    return F.when(F.contains(c, F.lit("%")), decoded).when(
+        F.contains(c, F.lit("+")), F.replace(c, F.lit("+"), F.lit(" "))).otherwise(c)
 
 
 def form_pairs(body: Column | str) -> Column:

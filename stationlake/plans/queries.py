@@ -20,6 +20,7 @@ from stationlake.operators.rollup import rollup
 from stationlake.operators.upsert import last_row, latest_wins, union_evolved
 from stationlake.schema import (AGGREGATABLE_FIELDS, INTERVALS, NUMERIC_PAYLOAD_FIELDS, ROLLUP_STATS, STATION_COL,
                                 TIMESTAMP_COL, raw_schema, stat_column)
+from stationlake.session import checkpoint_dir
 from stationlake.sources import fixtures
 from stationlake.sources.store import range_of, resolve
 
@@ -316,8 +317,13 @@ def _accepted_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("scope_stations")
 def scope_stations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The readings that some access records see, record by record."""
-    accepted, scopes = _accepted_stations(spark, sf_dir), _migrated(spark, sf_dir)
+    """The readings that some access records see, record by record.
+
+    The (station, seq) pairs are checkpointed, so reports are decoded once
+    for all records."""
+    checkpoint_dir(spark)
+    accepted = _accepted_stations(spark, sf_dir).checkpoint()
+    scopes = _migrated(spark, sf_dir).checkpoint()
     out = None
     for ordinal in SHOWN_RECORDS:
         rows = stations.scope_stations(accepted, scopes, ordinal).select(
