@@ -1,11 +1,7 @@
-import sys
-from pathlib import Path
+"""Rows of the sf0.01 tables for the brute-force versions."""
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
 SF001 = "/root/testdata/sf0.01"
 
 

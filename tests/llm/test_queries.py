@@ -8,11 +8,10 @@ import brute
 import public_tokenizers
 import pytest
 import tiktoken
+from llm_data import SF001, documents, pages  # noqa: F401
 
 from stationlake.llm import bpe, html_diff, packing, quality_rules, queries
 
-SF001 = "/root/testdata/sf0.01"
-
 
 def rows_of(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
