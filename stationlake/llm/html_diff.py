@@ -219,21 +219,33 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     the same text.  An empty table gives an empty result.
     """
     shared = shared_lines(pages, id_col, url_col, html_col)
-    keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
+
+    @F.pandas_udf("zones string, lines string")
+    def candidates(texts: pd.Series) -> pd.DataFrame:
+        """A zone digit and a line for each block; lines that no outcome of
+        the differencing keeps are blank, so they are not shuffled."""
+        out = []
+        for text in texts:
+            lines = lines_of(text or "")
+            least = MAIN if any(zone == MAIN for zone, _ in lines) else BODY
+            out.append(("".join(str(zone) for zone, _ in lines),
+                        "\n".join(x if zone >= least else "" for zone, x in lines)))
+        return pd.DataFrame(out, columns=["zones", "lines"])
+
+    keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), candidates(F.col(html_col)).alias("c"),
                          row_key(F.col(id_col), F.concat_ws("\n", F.col(url_col), F.col(html_col))).alias("key"))
 
     @F.pandas_udf("string")
-    def content(texts: pd.Series, shared: pd.Series) -> pd.Series:
+    def content(zones: pd.Series, lines: pd.Series, shared: pd.Series) -> pd.Series:
         out = []
-        for text, numbers in zip(texts, shared):
-            lines = lines_of(text or "")
+        for zone, line, numbers in zip(zones, lines, shared):
             gone = set(numbers.tolist()) if numbers is not None else set()
-            article = any(zone == MAIN for zone, _ in lines)
-            out.append("\n".join(x for i, (zone, x) in enumerate(lines)
-                                 if zone == MAIN or zone == BODY and not article and i not in gone))
+            out.append("\n".join(x for i, (z, x) in enumerate(zip(zone, line.split("\n")))
+                                 if x and (int(z) == MAIN or i not in gone)))
         return pd.Series(out, dtype=object)
 
-    return (keyed.join(shared, "key", "left")
-            .select(F.col("id").alias(id_col), F.col("url").alias(url_col), content("html", "shared").alias("text"),
+    return (keyed.select("id", "url", "c.zones", "c.lines", "key").join(shared, "key", "left")
+            .select(F.col("id").alias(id_col), F.col("url").alias(url_col),
+                    content("zones", "lines", "shared").alias("text"),
                     F.size("shared").cast("long").alias("n_shared"))
             .select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), "n_shared"))
