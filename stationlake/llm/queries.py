@@ -52,7 +52,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.convert(table(spark, sf_dir, "pages"), min_bytes=0).select(
+    return warc.convert(table(spark, sf_dir, "pages"), min_bytes=0, payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -149,10 +149,11 @@ def parse_arc(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
         yield header, content
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
+def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The records of ARC files, with what WARC needs synthesised: record id
     (from URL, date, page and digest), SHA-1 payload digest; ``at`` is the
-    record's place (file and number)."""
+    record's place (file and number).  ``payload=False`` leaves head and
+    payload null, for passes that only need the digests."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,10 +165,12 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                         headers, head, body = _http(block)
                         digest, page = _sha1(body), headers.get("X-Page-Id")
                         ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{h['URL']} {h['Archive-date']} {page} {digest}")
-                        rows.append((page, h["URL"], h["IP-address"], h["Archive-date"], h["Content-type"], head,
-                                     body.decode("utf-8", "surrogatepass"), len(body), digest, str(ident),
+                        rows.append((page, h["URL"], h["IP-address"], h["Archive-date"], h["Content-type"],
+                                     head if payload else None,
+                                     body.decode("utf-8", "surrogatepass") if payload else None,
+                                     len(body), digest, str(ident),
                                      f"{name.rsplit('/', 1)[-1]}#{k:09d}"))
-                        size += len(body)
+                        size += len(body) if payload else 0
                         if size > 1 << 24:
                             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
                             rows, size = [], 0
@@ -176,9 +179,10 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, RECORD)
 
 
-def with_revisits(records: DataFrame, min_bytes: int = 0, salts: int = 16) -> DataFrame:
+def with_revisits(records: DataFrame, digests: DataFrame, min_bytes: int = 0, salts: int = 16) -> DataFrame:
     """``records`` plus ``original`` (struct page_id, record_id, or null): the
-    response that a repeated payload refers to.
+    response that a repeated payload refers to.  ``digests`` are the same
+    records, payloads not needed.
 
     Of equal payloads of at least ``min_bytes`` bytes the smallest page id is
     the response (missing ids last, then the place in the archive).  Only
@@ -187,7 +191,7 @@ def with_revisits(records: DataFrame, min_bytes: int = 0, salts: int = 16) -> Da
     """
     order = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").try_cast("long").alias("page"), "at",
                      "page_id", "record_id")
-    repeated = (records.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
+    repeated = (digests.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
                 .agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
                 .select("payload_digest", F.struct("o.page_id", "o.record_id", "o.at").alias("o"),
                         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
@@ -256,10 +260,11 @@ def parse_warc(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]
         yield header, block
 
 
-def read_warc(spark: SparkSession, path: str, page_type: str = "long") -> DataFrame:
+def read_warc(spark: SparkSession, path: str, page_type: str = "long", payload: bool = True) -> DataFrame:
     """page_id, url, record_id, record_type, payload_bytes, payload_digest,
-    refers_to (page id), refers_to_record, payload (null for revisits) of the
-    response and revisit records; digests are checked against the blocks."""
+    refers_to (page id), refers_to_record, payload (null for revisits, or for
+    all with ``payload=False``) of the response and revisit records; digests
+    are checked against the blocks."""
     columns = ["page_id", "url", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_to",
                "refers_to_record", "payload"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
@@ -279,8 +284,8 @@ def read_warc(spark: SparkSession, path: str, page_type: str = "long") -> DataFr
                         rows.append((http.get("X-Page-Id"), h["WARC-Target-URI"], h["WARC-Record-ID"], h["WARC-Type"],
                                      int(http["Content-Length"]), h["WARC-Payload-Digest"].partition(":")[2],
                                      h.get("X-Refers-To-Page-Id"), h.get("WARC-Refers-To"),
-                                     None if revisit else body.decode("utf-8", "surrogatepass")))
-                        size += len(body)
+                                     None if revisit or not payload else body.decode("utf-8", "surrogatepass")))
+                        size += len(body) if payload else 0
                         if size > 1 << 24:
                             yield pd.DataFrame(rows, columns=columns)
                             rows, size = [], 0
@@ -293,7 +298,7 @@ def read_warc(spark: SparkSession, path: str, page_type: str = "long") -> DataFr
 
 
 def convert(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_bytes: int = 0, folder: str | None = None) -> DataFrame:
+            min_bytes: int = 0, folder: str | None = None, payload: bool = True) -> DataFrame:
     """Pages to ARC, ARC to WARC, and the WARC archives read back (`read_warc`).
 
     ``folder`` (default: a fresh one below the shared checkpoint folder) gets
@@ -304,5 +309,7 @@ def convert(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/llm-archive-{uuid.uuid4().hex}"
     write_arc(pages, f"{folder}/arc", id_col, url_col, html_col)
-    write_warc(with_revisits(read_arc(spark, f"{folder}/arc"), min_bytes), f"{folder}/warc")
-    return read_warc(spark, f"{folder}/warc", dict(pages.dtypes)[id_col])
+    legacy = f"{folder}/arc"
+    write_warc(with_revisits(read_arc(spark, legacy), read_arc(spark, legacy, payload=False), min_bytes),
+               f"{folder}/warc")
+    return read_warc(spark, f"{folder}/warc", dict(pages.dtypes)[id_col], payload)
