@@ -20,6 +20,10 @@ and joins the result to the other statistics on (station, bucket).  Both
 sides come out hash-partitioned on those keys.  ``mode_strategy="inline"``
 uses ``F.mode`` inside the single aggregation, which is cheaper when every
 bucket is known to be small.
+
+`rollup_all` makes several granularities from two reads of the input: the
+other statistics deal each row to its bucket of every granularity, and the
+value counts of coarser buckets are sums of those of the finest.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationlake.functions.times import bucket, known_interval
-from stationlake.schema import AGGREGATABLE_FIELDS, ROLLUP_STATS, STATION_COL, TIMESTAMP_COL, stat_column
+from stationlake.schema import (AGGREGATABLE_FIELDS, INTERVALS, ROLLUP_STATS, STATION_COL, TIMESTAMP_COL,
+                                stat_column)
 
 MODE_STRATEGIES = ("split", "inline")
 
@@ -83,21 +88,40 @@ def modes_long(bucketed: DataFrame, fields: list[str]) -> DataFrame:
     together and block compression of the shuffle absorbs most of that.
     """
     keys = [STATION_COL, TIMESTAMP_COL]
+    return _most_frequent(_value_counts(bucketed, fields), keys, fields)
+
+
+def _value_counts(bucketed: DataFrame, fields: list[str]) -> DataFrame:
+    """(station, bucket, fid, v, n): how often each field has each value."""
     pairs = F.array(*[
         F.struct(F.lit(i).cast("smallint").alias("fid"), F.col(f).alias("v"))
         for i, f in enumerate(fields)
     ])
-    long = (bucketed.select(*keys, F.inline(pairs))
-            .filter(F.col("v").isNotNull()))
-    counts = (long.groupBy(*keys, "fid", "v").agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") >= 2))
+    keys = [STATION_COL, TIMESTAMP_COL]
+    return (bucketed.select(*keys, F.inline(pairs)).filter(F.col("v").isNotNull())
+            .groupBy(*keys, "fid", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _most_frequent(counts: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row per ``keys`` with the mode of every field that repeats a value."""
     rank = F.struct(F.col("n"), F.negative(F.col("v")))
-    return counts.groupBy(*keys).agg(*[
+    return counts.filter(F.col("n") >= 2).groupBy(*keys).agg(*[
         F.max_by(F.col("v"), F.when(F.col("fid") == i, rank)).alias(stat_column(f, "mode"))
         for i, f in enumerate(fields)
     ])
 
 
+def _with_modes(stats: DataFrame, modes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """A field without a repeated value has its minimum as mode."""
+    return stats.join(modes, keys, "left").withColumns({
+        stat_column(f, "mode"): F.coalesce(modes[stat_column(f, "mode")], stats[stat_column(f, "min")])
+        for f in fields})
+
+
+def _ordered(fields: list[str]) -> list[str]:
+    return [TIMESTAMP_COL, STATION_COL, "sample_count"] + [stat_column(f, s) for f in fields for s in ROLLUP_STATS]
+
+
 def rollup(df: DataFrame, interval: str, fields: list[str] | None = None,
            mode_strategy: str = "split") -> DataFrame:
     """One row per (station, bucket) with ``sample_count`` and 5 stats.
@@ -117,9 +141,47 @@ def rollup(df: DataFrame, interval: str, fields: list[str] | None = None,
     else:
         stats = b.groupBy(*keys).agg(count, *stat_exprs(fields, with_mode=False))
         modes = modes_long(b, fields)
-        out = stats.join(modes, keys, "left").withColumns({
-            stat_column(f, "mode"): F.coalesce(modes[stat_column(f, "mode")], stats[stat_column(f, "min")])
-            for f in fields})
-    ordered = [TIMESTAMP_COL, STATION_COL, "sample_count"] + [
-        stat_column(f, s) for f in fields for s in ROLLUP_STATS]
-    return out.select(*ordered)
+        out = _with_modes(stats, modes, keys, fields)
+    return out.select(*_ordered(fields))
+
+
+def _dealt(df: DataFrame, intervals: list[str], *others: Column | str) -> DataFrame:
+    """Each row once per granularity: ``granularity`` and the bucket it is in."""
+    buckets = F.array(*[F.struct(F.lit(i).alias("granularity"), bucket(TIMESTAMP_COL, i).alias(TIMESTAMP_COL))
+                        for i in intervals])
+    return df.select(STATION_COL, F.inline(buckets), *others)
+
+
+def rollup_all(df: DataFrame, intervals: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
+    """The rollups of several granularities in one frame, named by its
+    first column ``granularity``; each granularity's rows equal `rollup`'s.
+
+    ``df`` is read twice, whatever the number of granularities.  A row is
+    dealt to its buckets before the partial aggregation of the statistics, so
+    only combined rows are shuffled.  For the modes, values are counted in the
+    finest buckets (combined before their shuffle), and those counts are
+    brought together by (station, coarsest bucket, field, value): at most one
+    row per finest bucket and key, from which every coarser count is a sum.
+    """
+    wanted = {known_interval(i) for i in (intervals if intervals is not None else INTERVALS)}
+    intervals = [i for i in INTERVALS if i in wanted]  # finest first
+    if not intervals:
+        raise ValueError("no granularity was asked for")
+    fields = present_fields(df, fields)
+    keys = ["granularity", STATION_COL, TIMESTAMP_COL]
+    out = (_dealt(df, intervals, *[F.col(f).cast("double").alias(f) for f in fields]).groupBy(*keys)
+           .agg(F.count(F.lit(1)).alias("sample_count"), *stat_exprs(fields, with_mode=False)))
+    if fields:
+        counts = _value_counts(_bucketed(df, intervals[0], fields), fields)
+        if len(intervals) > 1:
+            # The hash of the value stands for it in the shuffle: grouping
+            # by a double normalises it, which would shuffle once more.
+            together = ["_whole", "fid", "_hash"]
+            met = (counts.withColumn("_whole", bucket(TIMESTAMP_COL, intervals[-1]))
+                   .withColumn("_hash", F.xxhash64("v")).repartition(F.col(STATION_COL), *map(F.col, together)))
+            counts = (_dealt(met, intervals, *together, "v", "n").groupBy(*keys, *together, "v")
+                      .agg(F.sum("n").alias("n")))
+        else:
+            counts = counts.withColumn("granularity", F.lit(intervals[0]))
+        out = _with_modes(out, _most_frequent(counts, keys, fields), keys, fields)
+    return out.select("granularity", *_ordered(fields))
