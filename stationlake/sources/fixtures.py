@@ -69,6 +69,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _thin_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, dealt to all cores where the table is a single file.
+
+    A file of one row group is read by one task, which would then also build
+    and decode every report; here only the thin events are shuffled.  A
+    table of many files has splits enough and is read as it is."""
+    ev = load(spark, sf_dir, "events")
+    if len(ev.inputFiles()) > 1:
+        return ev
+    return ev.repartition(spark.sparkContext.defaultParallelism, "event_id")
+
+
 def _k(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("double")
 
@@ -141,7 +153,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     (c % 1000) / 1000, windspeedmph = c / 100 and the rest by `CENT_FIELDS`,
     with c the value in hundredths.
     """
-    ev = load(spark, sf_dir, "events").withColumn("again", F.explode(F.when(
+    ev = _thin_events(spark, sf_dir).withColumn("again", F.explode(F.when(
         F.col("event_id") % 50 == REPEATED, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     c = report_cents(F.col("value"))
     k = F.get_json_object(F.col("props"), "$.k")
