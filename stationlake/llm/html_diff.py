@@ -3,11 +3,14 @@
 Pages of a site share menus, notices and footers; two pages with
 neighbouring URLs share the most.  Every page is paired with its nearest
 neighbour by URL path within its host, their text lines are aligned by
-longest common subsequence, and lines that both have are boilerplate.  An
-exact check follows: lines in a page's own article (or main) element are
-content even if the neighbour repeats them, and lines of elements that are
-never content (menus, forms, adverts, reader comments) go even if they differ.
-Where a page marks no article, the differencing alone decides on the rest.
+longest common subsequence, and lines that both have are boilerplate, inside
+and outside of the page's article (or main) element.  A check follows.  Lines
+of elements that are never content (menus, forms, adverts, reader comments) go
+even if they differ.  Shared article lines come back unless the host shows
+them to be its own: a copied article shares most of its text with the same
+pages, while a notice stands in more than twice as many different articles of
+the host as the article's text does (see `site_wide`).  Where a page marks no
+article, and for lines beside the article, the differencing alone decides.
 
 Only line hashes are sorted and paired.  The sort is global over (host,
 path), so a host with a third of all pages spreads over many partitions; the
@@ -153,6 +156,24 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
+def site_wide(zones: list[int], lines: list[str], shared: set[int], held: dict[int, int]) -> set[int]:
+    """The shared article lines that belong to the host, not to the article.
+
+    ``held`` has for each article line the number of different articles of the
+    host that hold it (1 if missing).  Half of the article's characters stand
+    in lines held by ``usual`` articles at most: its copies and versions.  A
+    line held by more than twice as many stands mostly in other articles.
+    """
+    own = [i for i, zone in enumerate(zones) if zone == MAIN]
+    left = sum(len(lines[i]) for i in own) / 2
+    usual = 1
+    for usual, i in sorted((held.get(i, 1), i) for i in own):
+        left -= len(lines[i])
+        if left <= 0:
+            break
+    return {i for i in own if i in shared and held.get(i, 1) > 2 * usual}
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path) of a URL; empty where missing."""
     u = F.coalesce(url, F.lit(""))
@@ -172,28 +193,45 @@ def _nearness(path: str, other: str | None) -> int:
 
 
 def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(key, shared): for every page the line numbers that its nearest
-    neighbour has too."""
-    @F.pandas_udf("array<long>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for _, x in
-                                    lines_of(t or "")], dtype=np.uint64).view(np.int64) for t in texts], dtype=object)
-
-    @F.pandas_udf("array<int>")
-    def align(path: pd.Series, own: pd.Series, before_path: pd.Series, before: pd.Series,
-              after_path: pd.Series, after: pd.Series) -> pd.Series:
-        out = []
-        for p, mine, bp, b, ap, a in zip(path, own, before_path, before, after_path, after):
+    """(key, shared, held): for every page the line numbers that its nearest
+    neighbour has too and, if article lines are among them, the numbers of
+    different articles of the host that hold its article lines (of two or
+    more)."""
+    @F.pandas_udf("lines array<long>, zones string")
+    def hashes(texts: pd.Series) -> pd.DataFrame:
+        pages = [lines_of(t or "") for t in texts]
+        return pd.DataFrame({
+            "lines": pd.Series([np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for _, x in page],
+                                         dtype=np.uint64).view(np.int64) for page in pages], dtype=object),
+            "zones": pd.Series(["".join(str(zone) for zone, _ in page) for page in pages], dtype=object)})
+
+    def main_places(zones: str) -> np.ndarray:
+        return np.flatnonzero(np.frombuffer(zones.encode(), dtype=np.uint8) == ord(str(MAIN))).astype(np.int32)
+
+    @F.pandas_udf("article long, lines array<long>")
+    def article(lines: pd.Series, zones: pd.Series) -> pd.DataFrame:
+        own = [x[main_places(z)] for x, z in zip(lines, zones)]
+        return pd.DataFrame({"article": pd.Series([np.uint64(xxhash.xxh64_intdigest(x.tobytes())).view(np.int64)
+                                                   for x in own], dtype=np.int64),
+                             "lines": pd.Series([np.unique(x) for x in own], dtype=object)})
+
+    @F.pandas_udf("shared array<int>, places array<int>")
+    def align(path: pd.Series, own: pd.Series, zones: pd.Series, before_path: pd.Series, before: pd.Series,
+              after_path: pd.Series, after: pd.Series) -> pd.DataFrame:
+        out, places = [], []
+        for p, mine, zone, bp, b, ap, a in zip(path, own, zones, before_path, before, after_path, after):
             other = b if _nearness(p, bp) >= _nearness(p, ap) else a
-            both = common_lines(mine.tolist(), other.tolist()) if other is not None else ()
+            both = common_lines(mine.tolist(), other.tolist()) if other is not None else set()
+            main = main_places(zone)
             out.append(np.array(sorted(both), dtype=np.int32))
-        return pd.Series(out, dtype=object)
+            places.append(main[:0] if both.isdisjoint(main.tolist()) else main)
+        return pd.DataFrame({"shared": pd.Series(out, dtype=object), "places": pd.Series(places, dtype=object)})
 
     host, path = url_parts(F.col(url_col))
     thin = pages.select(
         host.alias("host"), path.alias("path"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         row_key(F.col(id_col), F.concat_ws("\n", F.col(url_col), F.col(html_col))).alias("key"),
-        hashes(F.col(html_col)).alias("lines"))
+        hashes(F.col(html_col)).alias("page")).select("host", "path", "url", "key", "page.*")
     order = ["host", "path", "url"]
     runs = sorted_runs(thin, order, "pages").withColumn("page", F.struct("host", "path", "lines"))
     rank = F.struct(*order, F.xxhash64("_pos"), "_pos")
@@ -206,8 +244,22 @@ def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
               .withColumn("b", F.coalesce("b", "previous")).withColumn("a", F.coalesce("a", "next"))
               .withColumn("b", F.when(F.col("b.host") == F.col("host"), F.col("b")))
               .withColumn("a", F.when(F.col("a.host") == F.col("host"), F.col("a"))))
-    both = paired.select("key", align("path", "lines", "b.path", "b.lines", "a.path", "a.lines").alias("shared"))
-    return both.groupBy("key").agg(F.min("shared").alias("shared"))  # repeated rows
+    both = (paired.select("key", "host", "lines", align("path", "lines", "zones", "b.path", "b.lines", "a.path",
+                                                       "a.lines").alias("both"))
+            .select("key", "host", "lines", "both.*"))
+    # Different articles of a host by line; copies of an article count once.
+    articles = (runs.select("host", article("lines", "zones").alias("own"))
+                .select("host", "own.article", F.explode("own.lines").alias("line"))
+                .select(F.xxhash64("host", "line").alias("line"), "article").distinct()
+                .groupBy("line").agg(F.count("*").alias("held")).where("held > 1"))
+    # A page without shared article lines passes as one row, under a key that meets nothing and spreads.
+    own_lines = F.transform("places", lambda i: F.struct(i.alias("place"), F.get("lines", i).alias("line")))
+    asked = (both.select("key", "host", "shared", F.explode_outer(own_lines).alias("own"))
+             .select("key", "shared", "own.place", F.when(F.col("own").isNull(), F.xxhash64("key"))
+                     .otherwise(F.xxhash64("host", "own.line")).alias("line")))
+    answer = F.when(F.col("place").isNotNull() & F.col("held").isNotNull(), F.struct("place", "held"))
+    return (asked.join(articles, "line", "left").groupBy("key")  # repeated rows: one answer
+            .agg(F.min("shared").alias("shared"), F.collect_set(answer).alias("held")))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -222,30 +274,32 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     @F.pandas_udf("zones string, lines string")
     def candidates(texts: pd.Series) -> pd.DataFrame:
-        """A zone digit and a line for each block; lines that no outcome of
-        the differencing keeps are blank, so they are not shuffled."""
+        """A zone digit and a line for each block; lines of elements that are
+        never content are blank, so they are not shuffled."""
         out = []
         for text in texts:
             lines = lines_of(text or "")
-            least = MAIN if any(zone == MAIN for zone, _ in lines) else BODY
             out.append(("".join(str(zone) for zone, _ in lines),
-                        "\n".join(x if zone >= least else "" for zone, x in lines)))
+                        "\n".join(x if zone != CHROME else "" for zone, x in lines)))
         return pd.DataFrame(out, columns=["zones", "lines"])
 
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), candidates(F.col(html_col)).alias("c"),
                          row_key(F.col(id_col), F.concat_ws("\n", F.col(url_col), F.col(html_col))).alias("key"))
 
     @F.pandas_udf("string")
-    def content(zones: pd.Series, lines: pd.Series, shared: pd.Series) -> pd.Series:
+    def content(zones: pd.Series, lines: pd.Series, shared: pd.Series, places: pd.Series, held: pd.Series) -> pd.Series:
         out = []
-        for zone, line, numbers in zip(zones, lines, shared):
+        for digits, line, numbers, at, n in zip(zones, lines, shared, places, held):
+            zone, texts = [int(z) for z in digits], line.split("\n")
             gone = set(numbers.tolist()) if numbers is not None else set()
-            out.append("\n".join(x for i, (z, x) in enumerate(zip(zone, line.split("\n")))
-                                 if x and (int(z) == MAIN or i not in gone)))
+            own = {i for i in gone if zone[i] == MAIN}
+            if own:
+                gone -= own - site_wide(zone, texts, own, dict(zip(at.tolist(), n.tolist())))
+            out.append("\n".join(x for i, x in enumerate(texts) if x and i not in gone))
         return pd.Series(out, dtype=object)
 
     return (keyed.select("id", "url", "c.zones", "c.lines", "key").join(shared, "key", "left")
             .select(F.col("id").alias(id_col), F.col("url").alias(url_col),
-                    content("zones", "lines", "shared").alias("text"),
+                    content("zones", "lines", "shared", "held.place", "held.held").alias("text"),
                     F.size("shared").cast("long").alias("n_shared"))
             .select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), "n_shared"))

@@ -93,6 +93,28 @@ def test_pages_without_article_lose_what_their_neighbour_has(spark):
     assert got == {**{k: f"Story {k}" for k in range(4)}, 9: "Solo"}
 
 
+def page_texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_diff.extract_text(df).collect()}
+
+
+def test_site_notice_inside_articles_goes_and_copied_articles_stay(spark):
+    """Differencing decides inside the article too; a copied article and its
+    versions keep their text, and lines beside an article stay if they differ."""
+    notice, page = "<p>This site moves in May</p>", "<p>By writer {0}</p><article><h1>Story {0}</h1><p>What happened in case {0}</p>{1}</article>"
+    rows = [(k, f"http://h/a/{k}", page.format(k, notice)) for k in range(6)]
+    copy = "<article><h1>Agency report</h1><p>Long text of the agency, the same everywhere</p><p>Version {0}</p>{1}</article>"
+    rows += [(10 + k, f"http://h/b/{k}", copy.format(k, notice)) for k in range(2)]
+    rows += [(20 + k, f"http://other/b/{k}", copy.format(k, "")) for k in range(9)]
+    rows += [(30 + k, f"http://third/b/{k}", page.format(k, "<p>Said twice</p>")) for k in range(2)]
+    got = page_texts(spark, rows)
+    want = {k: f"By writer {k}\nStory {k}\nWhat happened in case {k}" for k in range(6)}
+    report = "Agency report\nLong text of the agency, the same everywhere\nVersion "
+    want |= {10 + k: f"{report}{k}" for k in range(2)} | {20 + k: f"{report}{k}" for k in range(9)}
+    want |= {30 + k: f"By writer {k}\nStory {k}\nWhat happened in case {k}\nSaid twice" for k in range(2)}
+    assert got == want
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     fields = " ".join(warc.ARC_FIELDS[version])
