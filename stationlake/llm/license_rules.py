@@ -2,7 +2,8 @@
 
 Hundreds of hand-written regular expressions over the normalised words of a
 text (lower case, joined by single spaces).  A rule runs only on texts that
-hold its keyword, and texts without any keyword run none.  Detections are
+hold its keyword, which is part of everything the rule can match; texts
+without any keyword run none.  Detections are
 intervals of characters; a detection that lies inside one of a higher
 priority class (full notices before names before bare mentions), or inside a
 longer one of its own class, is suppressed.  Everything is one projection
@@ -46,7 +47,7 @@ _NOTICES = [
     ("gpl", "useful but without any warranty", r"in the hope that it will be useful but without any warranty"),
     ("gpl", "gnu general public license for more details", r"see the gnu general public license for more details"),
     ("gpl", "received a copy of the gnu", r"you should have received a copy of the gnu general public license"),
-    ("lgpl", "gnu lesser general public license", r"under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "general public", r"under the terms of the gnu (?:lesser|library) general public license"),
     ("lgpl", "received a copy of the gnu lesser", r"you should have received a copy of the gnu lesser general public license"),
     ("agpl", "gnu affero general public license", r"under the terms of the gnu affero general public license"),
     ("mpl", "source code form is subject to", r"this source code form is subject to the terms of the mozilla public license(?: v 2 0)?"),
@@ -68,10 +69,12 @@ _NOTICES = [
 ]
 
 # License names: label, keyword, the forms of the name, versions in use (with
-# the label's version suffix) or none.
+# the label's version suffix) or none.  Forms without the keyword have an entry
+# of their own.
 _NAMES = [
     ("apache", "apache", ["apache license", "apache software license", "apache public license"], ["1 0", "1 1", "2 0"]),
-    ("gpl", "general public", ["gnu general public license", "gnu gpl"], ["1", "2", "3", "2 0", "3 0"]),
+    ("gpl", "general public", ["gnu general public license"], ["1", "2", "3", "2 0", "3 0"]),
+    ("gpl", "gpl", ["gnu gpl"], ["1", "2", "3", "2 0", "3 0"]),
     ("lgpl", "general public", ["gnu lesser general public license", "gnu library general public license"], ["2", "2 1", "3", "3 0"]),
     ("agpl", "affero", ["gnu affero general public license", "affero general public license"], ["1", "3", "3 0"]),
     ("fdl", "free documentation", ["gnu free documentation license"], ["1 1", "1 2", "1 3"]),
@@ -94,28 +97,32 @@ _NAMES = [
     ("perl", "perl license", ["perl license"], []),
     ("ms-pl", "microsoft public", ["microsoft public license"], []),
     ("ms-rl", "microsoft reciprocal", ["microsoft reciprocal license"], []),
-    ("ncsa", "illinois", ["university of illinois ncsa open source license", "ncsa open source license"], []),
+    ("ncsa", "ncsa", ["university of illinois ncsa open source license", "ncsa open source license"], []),
     ("upl", "universal permissive", ["universal permissive license"], ["1 0"]),
     ("w3c", "w3c", ["w3c software notice and license", "w3c software and document license", "w3c license"], []),
     ("postgresql", "postgresql license", ["postgresql license"], []),
     ("openssl", "openssl license", ["openssl license"], []),
     ("vim", "vim license", ["vim license"], []),
     ("json", "json license", ["json license"], []),
-    ("x11", "x11", ["x11 license", "mit x11 license", "x consortium license"], []),
-    ("mit", "mit", ["mit license", "mit licence", "expat license"], []),
+    ("x11", "x11", ["x11 license", "mit x11 license"], []),
+    ("x11", "consortium", ["x consortium license"], []),
+    ("mit", "mit", ["mit license", "mit licence"], []),
+    ("mit", "expat", ["expat license"], []),
     ("mit-0", "no attribution", ["mit no attribution license"], []),
-    ("isc", "isc", ["isc license", "isc licence", "internet systems consortium license"], []),
-    ("bsd", "bsd", ["bsd license", "bsd licence", "bsd style license", "berkeley software distribution license"], []),
-    ("bsd-2-clause", "clause", ["2 clause bsd license", "bsd 2 clause license", "simplified bsd license", "freebsd license"], []),
+    ("isc", "isc", ["isc license", "isc licence"], []),
+    ("isc", "consortium", ["internet systems consortium license"], []),
+    ("bsd", "bsd", ["bsd license", "bsd licence", "bsd style license"], []),
+    ("bsd", "berkeley", ["berkeley software distribution license"], []),
+    ("bsd-2-clause", "bsd", ["2 clause bsd license", "bsd 2 clause license", "simplified bsd license", "freebsd license"], []),
     ("bsd-3-clause", "clause", ["3 clause bsd license", "bsd 3 clause license"], []),
-    ("bsd-3-clause", "revised bsd", ["new or revised bsd license", "revised bsd license", "modified bsd license"], []),
+    ("bsd-3-clause", "bsd", ["new or revised bsd license", "revised bsd license", "modified bsd license"], []),
     ("bsd-4-clause", "clause", ["4 clause bsd license", "bsd 4 clause license"], []),
     ("0bsd", "zero clause", ["zero clause bsd license", "bsd zero clause license"], []),
     ("zlib", "zlib", ["zlib license", "zlib libpng license"], []),
     ("libpng", "libpng", ["libpng license"], ["2 0"]),
     ("unlicense", "unlicense", ["the unlicense", "unlicense license"], []),
     ("wtfpl", "wtfpl", ["wtfpl license", "wtfpl"], ["2"]),
-    ("beerware", "beerware", ["beerware license", "beer ware license"], []),
+    ("beerware", "beer", ["beerware license", "beer ware license"], []),
     ("bsl", "business source", ["business source license"], ["1 0", "1 1"]),
     ("sspl", "server side public", ["server side public license"], ["1"]),
     ("elastic", "elastic license", ["elastic license"], ["2 0"]),
@@ -132,7 +139,8 @@ _NAMES = [
     ("cc-by-nd", "creative commons", ["creative commons attribution noderivatives", "creative commons attribution no derivatives", "creative commons attribution noderivs"], ["2 0", "3 0", "4 0"]),
     ("cc-by-nc-sa", "creative commons", ["creative commons attribution noncommercial sharealike"], ["3 0", "4 0"]),
     ("cc-by-nc-nd", "creative commons", ["creative commons attribution noncommercial noderivatives", "creative commons attribution noncommercial noderivs"], ["3 0", "4 0"]),
-    ("cc0", "cc0", ["creative commons zero", "cc0 public domain dedication"], ["1 0"]),
+    ("cc0", "creative commons", ["creative commons zero"], ["1 0"]),
+    ("cc0", "cc0", ["cc0 public domain dedication"], ["1 0"]),
 ]
 
 # Short forms, tags and addresses (as words): label, keyword, expression.
@@ -149,16 +157,19 @@ _MENTIONS = [
     ("ofl-1.1", "ofl", r"ofl 1 1"), ("cddl-1.0", "cddl", r"cddl 1 0"), ("eupl-1.2", "eupl", r"eupl 1 2"),
     ("artistic-2.0", "artistic 2", r"artistic 2 0"), ("bsd-2-clause", "bsd 2", r"bsd 2 clause"),
     ("bsd-3-clause", "bsd 3", r"bsd 3 clause"), ("bsd-4-clause", "bsd 4", r"bsd 4 clause"), ("0bsd", "0bsd", r"0bsd"),
-    ("mit", "released under the mit", r"(?:released|licensed|distributed|available) under (?:the )?mit"),
-    ("bsd", "under the bsd", r"(?:released|licensed|distributed|available) under (?:the )?bsd"),
-    ("apache", "under the apache", r"(?:released|licensed|distributed|available) under (?:the )?apache"),
+    ("mit", "under the mit", r"(?:released|licensed|distributed|available) under the mit"),
+    ("mit", "under mit", r"(?:released|licensed|distributed|available) under mit"),
+    ("bsd", "under the bsd", r"(?:released|licensed|distributed|available) under the bsd"),
+    ("bsd", "under bsd", r"(?:released|licensed|distributed|available) under bsd"),
+    ("apache", "under the apache", r"(?:released|licensed|distributed|available) under the apache"),
+    ("apache", "under apache", r"(?:released|licensed|distributed|available) under apache"),
     ("spdx", "spdx license identifier", r"spdx license identifier \S+(?: [0-9]+)*"),
     ("mit", "opensource org licenses", r"opensource org licenses mit"),
     ("bsd", "opensource org licenses", r"opensource org licenses bsd \S+"),
     ("apache-2.0", "www apache org licenses", r"www apache org licenses license 2 0"),
-    ("gpl", "www gnu org licenses", r"www gnu org (?:licenses|copyleft) gpl"),
-    ("lgpl", "www gnu org licenses", r"www gnu org (?:licenses|copyleft) lgpl"),
-    ("agpl", "www gnu org licenses", r"www gnu org licenses agpl"),
+    ("gpl", "www gnu org", r"www gnu org (?:licenses|copyleft) gpl"),
+    ("lgpl", "www gnu org", r"www gnu org (?:licenses|copyleft) lgpl"),
+    ("agpl", "www gnu org", r"www gnu org licenses agpl"),
     ("cc-by", "creativecommons org licenses", r"creativecommons org licenses by(?: [0-9] [0-9])?"),
     ("cc-by-sa", "creativecommons org licenses", r"creativecommons org licenses by sa(?: [0-9] [0-9])?"),
     ("cc-by-nc", "creativecommons org licenses", r"creativecommons org licenses by nc(?: [0-9] [0-9])?"),

@@ -2,6 +2,7 @@
 
 import io
 import random
+from re import _constants as sre, _parser as parser
 from itertools import combinations
 
 import brute
@@ -211,6 +212,56 @@ def test_learned_rules_are_conjunctions_in_order(spark):
     assert sum(hit(x) == bad for bad, x, _ in rows) >= 0.96 * len(rows)
 
 
+def phrases(parsed):
+    """Every text of a parsed expression; repeats as few times as they may, sets by their first character."""
+    out = [""]
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            new = [chr(arg)]
+        elif op is sre.IN:  # [123], [0-9] or \\S
+            kind, value = arg[0]
+            new = [chr(value if kind is sre.LITERAL else value[0]) if kind is not sre.CATEGORY else "q"]
+        elif op is sre.BRANCH:
+            new = [x for part in arg[1] for x in phrases(part)]
+        elif op is sre.SUBPATTERN:
+            new = phrases(arg[3])
+        elif op is sre.MAX_REPEAT:
+            low, high, part = arg
+            new = ([""] if low == 0 else []) + [x * max(low, 1) for x in phrases(part)]
+        else:
+            assert op is sre.ASSERT or op is sre.AT, op
+            new = [""]
+        out = [x + y for x in out for y in new]
+    return out
+
+
+def test_every_license_rule_fires_on_its_own_phrase(spark):
+    rows = []
+    for c, label, keyword, expression, weight in license_rules.rules():
+        for text in sorted({x.strip() for x in phrases(parser.parse(expression))}):
+            assert keyword in text, (label, keyword, text)
+            rows.append((len(rows), text, label, weight))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string, weight double")
+    got = {r.doc_id: r for r in license_rules.scan(df).collect()}
+    # "gnu gpl 1" is a mention of the gpl inside the versioned name, which suppresses it.
+    lost = [(label, text, got[i].labels) for i, text, label, weight in rows if got[i].score < weight
+            or not any(x == label or x.startswith(f"{label}-") for x in got[i].labels.split(","))]
+    assert not lost
+
+
+def test_license_phrases_without_further_words(spark):
+    texts = {
+        "the simplified BSD license": "bsd-2-clause", "FreeBSD License": "bsd-2-clause", "modified BSD license": "bsd-3-clause",
+        "Expat License": "mit", "Internet Systems Consortium License": "isc", "X Consortium License": "x11",
+        "Berkeley Software Distribution License": "bsd", "NCSA open source license": "ncsa", "Creative Commons Zero": "cc0",
+        "beer-ware license": "beerware", "GNU GPL 3": "gpl-3", "licensed under MIT": "mit", "licensed under the MIT": "mit",
+        "released under Apache": "apache", "www.gnu.org/copyleft/gpl": "gpl",
+        "under the terms of the GNU Library General Public License": "lgpl"}
+    df = spark.createDataFrame(list(texts.items()), "text string, label string")
+    got = {r.text: r for r in license_rules.scan(df, "text").collect()}
+    assert all(label in got[t].labels.split(",") and got[t].n_detections >= 1 for t, label in texts.items())
+
+
 def test_license_rules_and_suppression(spark):
     assert len(license_rules.rules()) > 250
     texts = {
