@@ -2,7 +2,8 @@
 
 Pages of a site share menus, notices and footers; two pages with
 neighbouring URLs share the most.  Every page is paired with its nearest
-neighbour by URL path within its host, their text lines are aligned by
+neighbour by URL path within its host whose lines are not all the same (a copy
+tells nothing about what is boilerplate), their text lines are aligned by
 longest common subsequence, and lines that both have are boilerplate, inside
 and outside of the page's article (or main) element.  A check follows.  Lines
 of elements that are never content (menus, forms, adverts, reader comments) go
@@ -14,7 +15,8 @@ article, and for lines beside the article, the differencing alone decides.
 
 Only line hashes are sorted and paired.  The sort is global over (host,
 path), so a host with a third of all pages spreads over many partitions; the
-pages at partition edges get their neighbour from a table of edges.
+pages at partition edges get their neighbour from a table of edges, also where
+a run of copies spans several partitions.
 """
 
 from __future__ import annotations
@@ -232,14 +234,44 @@ def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
         host.alias("host"), path.alias("path"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         row_key(F.col(id_col), F.concat_ws("\n", F.col(url_col), F.col(html_col))).alias("key"),
         hashes(F.col(html_col)).alias("page")).select("host", "path", "url", "key", "page.*")
-    order = ["host", "path", "url"]
+    order = ["host", "path", "url", F.xxhash64("lines")]  # equal rows stand side by side
     runs = sorted_runs(thin, order, "pages").withColumn("page", F.struct("host", "path", "lines"))
+
+    def differ(page: Column, copy: Column) -> Column:
+        return (page["host"] != copy["host"]) | (page["lines"] != copy["lines"])
     rank = F.struct(*order, F.xxhash64("_pos"), "_pos")
     by_run = Window.orderBy("_pid")  # one row per range partition
-    edges = (runs.groupBy("_pid").agg(F.min_by("page", rank).alias("first"), F.max_by("page", rank).alias("last"))
-             .select("_pid", F.lag("last").over(by_run).alias("previous"), F.lead("first").over(by_run).alias("next")))
+    ends = runs.groupBy("_pid").agg(F.min_by("page", rank).alias("first"), F.max_by("page", rank).alias("last"))
+    not_first, not_last = differ(F.col("page"), F.col("first")), differ(F.col("page"), F.col("last"))
+    inner = (runs.join(ends, "_pid").groupBy("_pid")
+             .agg(F.min_by(F.when(not_first, F.col("page")), F.when(not_first, rank)).alias("second"),
+                  F.max_by(F.when(not_last, F.col("page")), F.when(not_last, rank)).alias("last_but")))
+
+    def other(near: Column, farther: Column, page: Column) -> Column:
+        """The closest page of the partition beside that is no copy of ``page``; null if there is none."""
+        return F.when(differ(near, page), near).otherwise(farther)
+    edges = (ends.join(inner, "_pid")
+             .select("_pid", other(F.lag("last").over(by_run), F.lag("last_but").over(by_run), F.col("first"))
+                     .alias("previous"),
+                     other(F.lead("first").over(by_run), F.lead("second").over(by_run), F.col("last")).alias("next"))
+             # A partition of copies alone: what its own neighbour partition would see.
+             .select("_pid", F.last("previous", True).over(by_run.rowsBetween(Window.unboundedPreceding, 0))
+                     .alias("previous"),
+                     F.last("next", True).over(Window.orderBy(F.desc("_pid"))
+                                               .rowsBetween(Window.unboundedPreceding, 0)).alias("next")))
     w = run_window(order)
-    paired = (runs.withColumn("b", F.lag("page").over(w)).withColumn("a", F.lead("page").over(w))
+    back = Window.partitionBy("_pid").orderBy(*[F.desc(c) for c in order], F.desc(F.xxhash64("_pos")), F.desc("_pos"))
+
+    def nearest(window: Window) -> Column:
+        """The last page in the window's order with other lines: the one before its run of copies."""
+        return F.last(F.when(F.col("turn"), F.col("beside")), True).over(
+            window.rowsBetween(Window.unboundedPreceding, 0))
+
+    def beside(rows: DataFrame, window: Window, name: str) -> DataFrame:
+        rows = rows.withColumn("beside", F.lag("page").over(window))
+        rows = rows.withColumn("turn", differ(F.col("beside"), F.col("page")))
+        return rows.withColumn(name, nearest(window)).drop("beside", "turn")
+    paired = (beside(beside(runs, w, "b"), back, "a")
               .join(edges, "_pid")
               .withColumn("b", F.coalesce("b", "previous")).withColumn("a", F.coalesce("a", "next"))
               .withColumn("b", F.when(F.col("b.host") == F.col("host"), F.col("b")))
@@ -267,8 +299,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """``id_col``, ``url_col``, text, n_chars, n_shared: one row per page.
 
     Null html is an empty page (empty text); a null URL has the empty host
-    and path; a page alone on its host shares no lines.  Repeated rows give
-    the same text.  An empty table gives an empty result.
+    and path; a page without another on its host but copies shares no lines.
+    Repeated rows give the same text.  An empty table gives an empty result.
     """
     shared = shared_lines(pages, id_col, url_col, html_col)
 

@@ -116,6 +116,24 @@ def test_site_notice_inside_articles_goes_and_copied_articles_stay(spark):
     assert got == want
 
 
+def test_copies_are_no_neighbours(spark):
+    """Pages without article beside their own copies: two, and runs of copies
+    longer than a range partition, at both ends of the host and in its middle."""
+    page = "<p>Site name</p><p>Story {}</p><p>Imprint and terms</p>"
+    rows = [(1, "http://h/a?page=1", page.format("one")), (2, "http://h/a?page=2", page.format("one")),
+            (3, "http://h/b", page.format("two"))]
+    want = {1: "Story one", 2: "Story one", 3: "Story two"}
+    for host in range(2):
+        at = 1000 * (host + 1)
+        for k in range(400):
+            story = ["first", "middle", "last"][k // 130 % 3] if k % 130 else f"alone {k}"
+            rows.append((at + k, f"http://long{host}/x/{k:04d}", page.format(story)))
+            want[at + k] = f"Story {story}"
+    rows += [(5000 + k, "http://same/", page.format("only")) for k in range(300)]
+    want |= {5000 + k: "Site name\nStory only\nImprint and terms" for k in range(300)}
+    assert page_texts(spark, rows) == want
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     fields = " ".join(warc.ARC_FIELDS[version])
