@@ -38,13 +38,21 @@ CHROME, BODY, MAIN = 0, 1, 2
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe"}
 _CHROME_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "header", "head"}
 _MAIN_TAGS = {"article", "main"}
-#: Words of class and id names that mark boilerplate.
+#: Class, id and role names that mark boilerplate.
 _CHROME_NAMES = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment",
     "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal",
     "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "replies", "share",
     "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "widget",
 }
+#: ``site-ad`` is marked as ``ad`` is.
+_NAME_PREFIXES = {"site", "global", "main", "primary", "secondary", "top", "bottom"}
+#: Names that mark whatever follows them (``cookie-bar``), unless it tells of a state of the page (``nav-open``).
+_NAME_STEMS = {
+    "ad", "ads", "advert", "breadcrumb", "comment", "comments", "cookie", "footer", "menu", "nav", "navbar",
+    "newsletter", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "subscribe",
+}
+_STATES = {"open", "closed", "free", "none", "off", "on", "enabled", "disabled", "hidden", "visible", "left", "right"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
     "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
@@ -56,11 +64,15 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+def _boilerplate(name: str) -> bool:
+    words = re.split(r"[-_]+", name)
+    if name in _CHROME_NAMES or len(words) == 2 and words[0] in _NAME_PREFIXES and words[1] in _CHROME_NAMES:
+        return True
+    return len(words) > 1 and words[0] in _NAME_STEMS and _STATES.isdisjoint(words[1:])
+
+
 def _marked(attributes: str) -> bool:
-    for groups in _NAMES.findall(attributes):
-        if not _CHROME_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", "".join(groups).lower())):
-            return True
-    return False
+    return any(_boilerplate(name) for groups in _NAMES.findall(attributes) for name in "".join(groups).lower().split())
 
 
 def lines_of(page: str) -> list[tuple[int, str]]:
@@ -69,17 +81,22 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     Character references are decoded; white space inside a block becomes one
     space.  Raw-text elements (scripts, styles) and comments are no text.  A
     boilerplate element ends at its closing tag, or where an article begins.
+    The names of ``html`` and ``body`` tell of the page, not of their text; the
+    first h1 of an article is its title, even in an element named as a header.
     """
     out: list[tuple[int, str]] = []
     buffer: list[str] = []
     chrome: tuple[str, int] | None = None  # open boilerplate element and its nesting
     main = 0
+    named = titled = title = False  # the open boilerplate element is one by name; an h1 of the article came; is open
 
     def flush() -> None:
+        nonlocal titled
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                out.append((CHROME if chrome else MAIN if main else BODY, text))
+                out.append((MAIN if title else CHROME if chrome else MAIN if main else BODY, text))
+                titled = titled or title
             buffer.clear()
 
     at = 0
@@ -108,14 +125,21 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             if not closing:
                 chrome = None
             main = max(0, main + (-1 if closing else 1))
+            title = False
+            titled = titled and main > 0
+        elif tag == "h1" and main and not (chrome and chrome[0] == "h1"):
+            title = not closing and not titled and (not chrome or named)
         elif chrome:
             if tag == chrome[0]:
+                title = False
                 flush()
                 depth = chrome[1] + (-1 if closing else 1)
                 chrome = (tag, depth) if depth else None
-        elif not closing and (tag in _CHROME_TAGS and not (main and tag == "header") or _marked(attributes)):
-            flush()
-            chrome = (tag, 1)
+        elif not closing and tag not in ("html", "body"):
+            by_tag = tag in _CHROME_TAGS and not (main and tag == "header")
+            if by_tag or _marked(attributes):
+                flush()
+                chrome, named, title = (tag, 1), not by_tag, False
     flush()
     return out
 

@@ -134,6 +134,21 @@ def test_copies_are_no_neighbours(spark):
     assert page_texts(spark, rows) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<body class="has-sidebar nav">text</body>', [(1, "text")]),
+    ('<div id="content" class="with-sidebar comments-open">text</div>', [(1, "text")]),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>text</article>', [(2, "Title"), (2, "text")]),
+    ('<article><div class="header"><h1>Title</h1><p>Share</p></div><p>text</article>', [(2, "Title"), (0, "Share"), (2, "text")]),
+    ('<article><h1>Title</h1><div id="comments"><h1>Replies</h1>no</div>text</article>',
+     [(2, "Title"), (0, "Replies"), (0, "no"), (2, "text")]),
+    ('<article><h1>Never closed<div class="ad">Buy</div>text</article>', [(2, "Never closed"), (0, "Buy"), (2, "text")]),
+    ('<article><nav><h1>Menu</h1></nav><h1>Title</h1></article>', [(0, "Menu"), (2, "Title")]),
+    ('<div class="x ad">a</div><div class="site_footer">b</div><div class="cookie-bar">c</div><p role=navigation>d</p>e',
+     [(0, "a"), (0, "b"), (0, "c"), (0, "d"), (1, "e")])])
+def test_names_that_mark_boilerplate(page, want):
+    assert html_diff.lines_of(page) == want
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     fields = " ".join(warc.ARC_FIELDS[version])
