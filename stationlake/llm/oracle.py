@@ -93,3 +93,112 @@ SELECT doc_id, part, start, n_tokens, bucket::INT AS bucket, bucket_tokens,
        place // (65536 // bucket_tokens) AS batch, place % (65536 // bucket_tokens) AS slot
 FROM numbered
 """
+
+# The level in closed form: sources by cap / weight; the first that stays under its cap sets it.
+ORACLE["op11_mixing"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5(concat_ws(':', '11', doc_id)) AS place FROM documents),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::BIGINT AS cap,
+           [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+    FROM sized GROUP BY source),
+filled AS (
+    SELECT *, row_number() OVER o AS r,
+           (1.5::DOUBLE * sum(source_size) OVER ()
+            - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM sources WINDOW o AS (ORDER BY cap / weight, source)),
+water AS (SELECT arg_min(level, r) AS level FROM filled WHERE level * weight <= cap),
+targets AS (SELECT source, source_size, least(cap, water.level * weight) AS target,
+                   CASE WHEN source_size > 0 THEN floor(least(cap, water.level * weight) / source_size) ELSE 0 END AS whole
+            FROM sources, water),
+placed AS (
+    SELECT s.doc_id, s.size, t.source_size, t.target, t.whole,
+           floor(t.target - t.whole * t.source_size + 0.5)
+           - (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size) AS room
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (whole * size + greatest(least(room, size), 0))::BIGINT AS taken
+FROM placed
+"""
+
+_CRC_TABLE = """steps AS (
+    SELECT b::BIGINT AS b, b::BIGINT AS v, 0 AS k FROM range(256) t(b)
+    UNION ALL
+    SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8)"""
+
+# Nodes are the distinct prefixes; a node counts for every prefix of its own smallest member.
+ORACLE["op12_conversation_trie"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+turns AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+          FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'id': id, 'words': words}} ORDER BY turn NULLS FIRST, id) AS ts FROM turns GROUP BY conv_id),
+cut AS (SELECT own.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                   string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                   lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 4 AS h FROM own, crc),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts
+            FROM cut c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefixes AS (SELECT conv_id, d, len(ts) AS n, md5(array_to_string(list_transform(ts[1:d], lambda x: x.id), '')) AS k,
+                    CASE WHEN d > 0 THEN ts[d].words ELSE 0 END AS words
+             FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+          FROM prefixes GROUP BY d, k),
+linked AS (SELECT v.*, p.k AS parent, u.conv_id AS parent_conv_id
+           FROM nodes v LEFT JOIN prefixes p ON p.conv_id = v.conv_id AND p.d = v.d - 1
+           LEFT JOIN nodes u ON u.d = p.d AND u.k = p.k),
+fans AS (SELECT d - 1 AS d, parent AS k, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT v.*, coalesce(f.n_children, 0) AS n_children FROM linked v LEFT JOIN fans f ON f.d = v.d AND f.k = v.k),
+sums AS (SELECT p.d, p.k, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves,
+                sum((v.n_convs - 1) * v.words) AS saved_tokens
+         FROM whole v JOIN prefixes p ON p.conv_id = v.conv_id AND p.d <= v.d GROUP BY p.d, p.k)
+SELECT w.conv_id, w.d::BIGINT AS depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM whole w JOIN sums s ON s.d = w.d AND s.k = w.k
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Each round as two tables: the nearest entries, and the moved codebooks."""
+    def assign(n: int) -> str:
+        return f"""dist{n} AS MATERIALIZED (
+    SELECT p.row_id, p.part, b.entry,
+           list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts p JOIN book{n} b ON b.part = p.part),
+near{n} AS MATERIALIZED (
+    SELECT row_id, part, (min(d * 256 + entry) % 256)::INT AS entry, min(d) AS d FROM dist{n} GROUP BY row_id, part)"""
+
+    def move(n: int) -> str:
+        return f"""mean{n} AS (
+    SELECT part, entry, list(m ORDER BY j) AS v FROM (
+        SELECT part, entry, j, (sum(x)::BIGINT - ((sum(x)::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS m
+        FROM (SELECT n.part, n.entry, unnest(p.v) AS x, unnest(range(len(p.v))) AS j
+              FROM near{n} n JOIN parts p ON p.row_id = n.row_id AND p.part = n.part)
+        GROUP BY part, entry, j) GROUP BY part, entry),
+book{n + 1} AS MATERIALIZED (
+    SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{n} b LEFT JOIN mean{n} m ON m.part = b.part AND m.entry = b.entry)"""
+
+    return ",\n".join(assign(n) + (",\n" + move(n) if n < rounds else "") for n in range(rounds + 1))
+
+
+ORACLE["op13_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS row_id, vec_id, label,
+           list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS ints
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+    SELECT row_id, part, ints[part * (len(ints) // 8) + 1 : (part + 1) * (len(ints) // 8)] AS v
+    FROM (SELECT *, unnest(range(8)) AS part FROM kept)),
+book0 AS MATERIALIZED (SELECT part, row_id - 1 AS entry, v FROM parts WHERE row_id <= 16),
+{_lloyd(6)},
+codes AS (SELECT row_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+          FROM near6 GROUP BY row_id),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book6)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (row_id), books
+"""

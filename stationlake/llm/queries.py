@@ -7,12 +7,13 @@ parameters and derives the digest columns from the operator's real output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import (bpe, exact_dedup, html_diff, license_rules, line_dedup, packing, quality_rules, sharding,
-                             simhash, warc)
+from stationlake.llm import (bpe, conversation_trie, exact_dedup, html_diff, license_rules, line_dedup, mixing, packing,
+                             quality_rules, sharding, simhash, vector_codes, warc)
 from stationlake.llm._base import table
 
 
@@ -68,6 +69,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2.0)
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings = conversation_trie.turn_strings(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie_nodes(conversation_trie.graft(strings, every=20, shared=4))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.train(table(spark, sf_dir, "embeddings"), n_parts=8, k=16, rounds=6, scale=4096)
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return vector_codes.with_label_errors(coded).select(
+        F.col("id").alias("vec_id"), F.array_join(digits, "").alias("code"), "error", "label_error",
+        F.lit(sha256(",".join(map(str, books.ravel())).encode()).hexdigest()).alias("codebooks_sha256"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_sharding, op6_html_text,
-                            op7_warc, op8_packing, op9_license_scan, op10_simhash)}
+                            op7_warc, op8_packing, op9_license_scan, op10_simhash, op11_mixing, op12_conversation_trie,
+                            op13_vector_codes)}
