@@ -76,13 +76,18 @@ def _ends(rows: DataFrame) -> DataFrame:
     and only pieces meet to be hashed one after the other, as the hash demands.
     """
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, n = TaskContext.get().partitionId(), 0
+        pid, n, path, ids = TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
-            for path, ids in batch.groupby("path", sort=False)["conv_id"]:
-                for at in range(0, len(ids), _CHUNK):
-                    yield pd.DataFrame({"path": [path], "pid": [pid], "n": [n],
-                                        "piece": [",".join(map(str, ids.iloc[at:at + _CHUNK]))]})
-                    n += 1
+            out = []
+            for own, conv_id in zip(batch["path"], batch["conv_id"]):
+                if own != path or len(ids) == _CHUNK:
+                    if ids:
+                        out.append((path, pid, n, ",".join(ids)))
+                    path, ids, n = own, [], n + 1
+                ids.append(str(conv_id))
+            yield pd.DataFrame(out, columns=["path", "pid", "n", "piece"])
+        if ids:
+            yield pd.DataFrame([(path, pid, n, ",".join(ids))], columns=["path", "pid", "n", "piece"])
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = h = None
