@@ -15,6 +15,8 @@ weight), so adding one does not change the plan.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
 NOTICE, NAME, MENTION = 0, 1, 2
+_BLOCK = 128  # matches whose places are summed up together
 WEIGHTS = {NOTICE: 1.0, NAME: 0.8, MENTION: 0.5}
 
 # Full notices and grants: label, keyword, expression.
@@ -202,21 +205,39 @@ def _rule_table() -> Column:
 
 
 def _detections(text: Column, rule: Column) -> Column:
-    """Intervals (start, end) of one rule's matches: the pieces between the
-    matches and the matches themselves, summed up from the left."""
-    spans = F.arrays_zip(
+    """Intervals (start, end) of one rule's matches.
+
+    Every match and the piece before it have a length; a match starts where
+    the lengths before it end.  Those sums are taken in blocks: once per block
+    over all lengths, then inside the block, so no list grows match by match.
+    """
+    def from_lengths(lengths: Column) -> Column:
+        n = F.size(lengths)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")),
+                             lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+        def total(block: Column) -> Column:
+            return F.aggregate(block, F.lit(0), lambda acc, x: acc + x["gap"] + x["hit"])
+
+        def spans(block: Column, offset: Column) -> Column:
+            return F.transform(block, lambda x, i: F.struct(
+                (offset + total(F.slice(block, 1, i)) + x["gap"]).alias("start"),
+                (offset + total(F.slice(block, 1, i + 1))).alias("end"),
+                rule["class"].alias("class"), rule["label"].alias("label"), rule["weight"].alias("weight")))
+
+        def placed(blocks: Column) -> Column:
+            return let(F.transform(blocks, total), lambda totals: F.flatten(F.transform(
+                blocks, lambda block, b: let(F.aggregate(F.slice(totals, 1, b), F.lit(0), lambda acc, x: acc + x),
+                                             lambda offset: spans(block, offset)))))
+        return let(blocks, placed)
+
+    hits = F.regexp_extract_all(text, rule["regex"], F.lit(0))
+    # As many pieces as matches and one more, which goes.
+    return let(F.filter(F.arrays_zip(
         F.transform(F.split(text, rule["regex"]), lambda x: F.length(x)).alias("gap"),
-        F.transform(F.regexp_extract_all(text, rule["regex"], F.lit(0)), lambda x: F.length(x)).alias("hit"))
-    empty = F.array().cast("array<struct<start:int,end:int,class:int,label:string,weight:double>>")
-    walked = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(F.struct(
-            (acc["at"] + x["gap"] + x["hit"]).alias("at"),
-            F.concat(acc["found"], F.array(F.struct(
-                (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["hit"]).alias("end"),
-                rule["class"].alias("class"), rule["label"].alias("label"), rule["weight"].alias("weight"))))
-            .alias("found"))))
-    return walked["found"]
+        F.transform(hits, lambda x: F.length(x)).alias("hit")), lambda x: x["hit"].isNotNull()), lambda lengths: F.when(
+            F.size(lengths) == 0, F.array().cast("array<struct<start:int,end:int,class:int,label:string,weight:double>>"))
+        .otherwise(from_lengths(lengths)))
 
 
 def _survivors(found: Column) -> Column:
@@ -259,7 +280,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     the surviving detections; ``score`` is their highest weight (base phrases
     count as names), 0 without any.  Null text counts as empty.
     """
-    lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase)
     # One space before, between and after the words.
     joined = F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), NOT_WORD, " ")
     thin = docs.select(F.col(id_col).alias("id"), joined.alias("norm"))
