@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
@@ -42,17 +43,42 @@ def row_key(id_col: Column, text: Column) -> Column:
     return F.struct(F.xxhash64(id_col, t).alias("a"), F.xxhash64(F.lit("row"), t, id_col).alias("b"))
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Staged tables made inside are dropped at the end: write the result
+    inside, since operators return frames that still read what they staged."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            unstage(spark, path)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder below the shared checkpoint folder and
     read it back: lineage ends there, and ids that depend on the physical
-    partition are fixed."""
+    partition are fixed.  Dropped by `staging`, or with the checkpoint folder."""
     return stage_at(df, name)[0]
 
 
 def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Like `stage`, with the folder, for callers that drop it themselves."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -70,13 +96,15 @@ def sorted_runs(df: DataFrame, order: list[str], name: str) -> DataFrame:
     range partition) and ``_pos`` (unique; breaks ties between equal rows).
 
     The tie-breaker is part of the range key, so rows that are equal in
-    every sort column still spread over partitions.
+    every sort column still spread over partitions.  ``df`` is staged first:
+    a range partitioning reads its input twice, once to sample it.
     """
+    rows, path = stage_at(df.withColumn("_pos", F.monotonically_increasing_id()), f"{name}-rows")
     n = shuffle_partitions(df.sparkSession)
-    tagged = df.withColumn("_pos", F.monotonically_increasing_id())
-    runs = (tagged.repartitionByRange(n, *order, F.xxhash64("_pos"), "_pos")
-            .withColumn("_pid", F.spark_partition_id()))
-    return stage(runs, name)
+    runs = stage(rows.repartitionByRange(n, *order, F.xxhash64("_pos"), "_pos")
+                 .withColumn("_pid", F.spark_partition_id()), name)
+    unstage(df.sparkSession, path)
+    return runs
 
 
 def run_window(order: list[str], *keys: str) -> Window:

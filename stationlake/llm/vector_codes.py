@@ -29,7 +29,6 @@ table below the checkpoint folder, so a lost executor costs its tasks only.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.llm._base import stage, stage_at, unstage
-from stationlake.session import checkpoint_dir
+from stationlake.llm._base import fresh_folder, stage, stage_at, unstage
 
 #: Scaled components of a larger size could overflow the sums of squares.
 LARGEST = 1 << 24
@@ -243,7 +241,7 @@ def _round(rows: DataFrame, books: np.ndarray, moved: np.ndarray, old: list[int]
             "sums": pa.array([sums[p, e].tolist() for p, e in at], pa.list_(pa.int64())),
             "needed": pa.array([needed[p].tolist() if e == 0 else None for p, e in at], pa.list_(pa.int64()))})
 
-    path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     (rows.mapInArrow(run, schema).withColumn("kind", F.when(F.col("part").isNull(), "rows").otherwise("sums"))
      .write.partitionBy("kind").parquet(path))
     both = spark.read.schema(schema + ", kind string").parquet(path)
