@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.session import checkpoint_dir
+from stationlake.llm._base import fresh_folder, unstage
 
 #: Header fields of an ARC record by version (fixed by the format).
 ARC_FIELDS = {
@@ -83,16 +83,15 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
         def block() -> str:
             version = state["version"] = 3 - state["version"]
             body = f"{version} 0 stationlake\n{' '.join(ARC_FIELDS[version])}\n"
-            return record("filedesc://stationlake.arc", "text/plain", body, "200")
+            # The version block's own header always has version 1 fields.
+            return record("filedesc://stationlake.arc", "text/plain", body, "200", 1)
 
-        def record(url: str, mime: str, content: str, code: str) -> str:
+        def record(url: str, mime: str, content: str, code: str, version: int) -> str:
             data = content.encode("utf-8", "surrogatepass")
             values = {"URL": url, "IP-address": "0.0.0.0", "Archive-date": crawl_date, "Content-type": mime,
                       "Result-code": code, "Checksum": _sha1(data), "Location": "-", "Offset": "0",
                       "Filename": "stationlake.arc", "Archive-length": str(len(data))}
-            # The version block's own header always has version 1 fields.
-            fields = ARC_FIELDS[1 if url.startswith("filedesc:") else state["version"]]
-            return " ".join(values[f] for f in fields) + "\n" + content
+            return " ".join(values[f] for f in ARC_FIELDS[version]) + "\n" + content
 
         def records() -> Iterator[str]:
             for batch in batches:
@@ -102,7 +101,8 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
                             f"Content-Length: {len(page.encode('utf-8', 'surrogatepass'))}"]
                     if i is not None:
                         head.append(f"X-Page-Id: {i}")
-                    yield record(_token(url, "about:blank"), "text/html", "\r\n".join([*head, "", ""]) + page, "200")
+                    yield record(_token(url, "about:blank"), "text/html", "\r\n".join([*head, "", ""]) + page, "200",
+                                 state["version"])
 
         for section in _sections(records(), block, "\n", section_chars):
             yield pd.DataFrame({"value": [section]})
@@ -118,12 +118,28 @@ def _http(block: bytes) -> tuple[dict[str, str], str, bytes]:
     return headers, text, body
 
 
+def _version_fields(values: list[str], content: bytes) -> list[str] | None:
+    """The fields that a version block declares; None for any other record.
+
+    A version block is plain text under a ``filedesc:`` URL that names a known
+    version and that version's fields; a page may have such a URL as well."""
+    if not values[0].startswith("filedesc:") or values[3] != "text/plain":
+        return None
+    first, _, rest = content.decode("utf-8", "replace").partition("\n")
+    version, fields = first.split(" ", 1)[0], rest.split("\n", 1)[0].split(" ")
+    if version.isdigit() and fields == ARC_FIELDS.get(int(version)):
+        return fields
+    if version.isdigit() and fields[0] == "URL":
+        raise ValueError(f"unknown ARC version block: {content[:200]!r}")
+    return None
+
+
 def parse_arc(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, content) of every record but the version blocks.
 
-    A version block (``filedesc:``) names the version and its fields for the
-    records that follow; content is read by the declared length, so line
-    breaks and header look-alikes in it do no harm.
+    A version block names the version and its fields for the records that
+    follow; content is read by the declared length, so line breaks and header
+    look-alikes in it do no harm.
     """
     fields = ARC_FIELDS[1]
     while line := data.readline():
@@ -131,22 +147,21 @@ def parse_arc(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
         if not line:  # the separator between records
             continue
         text = line.decode("utf-8", "replace")
-        block = text.startswith("filedesc:")
-        names = ARC_FIELDS[1] if block else fields
         values = text.split(" ")
-        if len(values) != len(names) or not values[-1].isdigit():
+        # A version block has the fields of version 1 under either version.
+        block = len(values) == len(ARC_FIELDS[1]) and values[0].startswith("filedesc:")
+        if not (block or len(values) == len(fields)) or not values[-1].isdigit():
             raise ValueError(f"malformed ARC header: {text[:200]!r}")
-        header = dict(zip(names, values))
-        content = data.read(int(header["Archive-length"]))
-        if len(content) != int(header["Archive-length"]):
+        content = data.read(int(values[-1]))
+        if len(content) != int(values[-1]):
             raise ValueError(f"ARC record cut short: {text[:200]!r}")
-        if block:
-            version = int(content.split(b" ", 1)[0])
-            fields = content.decode("utf-8", "replace").split("\n")[1].split(" ")
-            if version not in ARC_FIELDS or fields != ARC_FIELDS[version]:
-                raise ValueError(f"unknown ARC version block: {content[:200]!r}")
-            continue
-        yield header, content
+        declared = _version_fields(values, content) if block else None
+        if declared:
+            fields = declared
+        elif len(values) != len(fields):
+            raise ValueError(f"malformed ARC header: {text[:200]!r}")
+        else:
+            yield dict(zip(fields, values)), content
 
 
 def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -179,17 +194,18 @@ def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return files.mapInPandas(parse, RECORD)
 
 
-def with_revisits(records: DataFrame, digests: DataFrame, min_bytes: int = 0, salts: int = 16) -> DataFrame:
+def with_revisits(records: DataFrame, digests: DataFrame, min_bytes: int = 0, salts: int = 16,
+                  page_type: str = "long") -> DataFrame:
     """``records`` plus ``original`` (struct page_id, record_id, or null): the
     response that a repeated payload refers to.  ``digests`` are the same
     records, payloads not needed.
 
     Of equal payloads of at least ``min_bytes`` bytes the smallest page id is
-    the response (missing ids last, then the place in the archive).  Only
+    the response, in the order of ``page_type`` (missing ids last, then the place in the archive).  Only
     repeated digests are joined, ``salts`` copies of each, so a payload that a
     third of all pages share meets its group in many tasks.
     """
-    order = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").try_cast("long").alias("page"), "at",
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").try_cast(page_type).alias("page"), "at",
                      "page_id", "record_id")
     repeated = (digests.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
                 .agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
@@ -263,8 +279,11 @@ def parse_warc(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]
 def read_warc(spark: SparkSession, path: str, page_type: str = "long", payload: bool = True) -> DataFrame:
     """page_id, url, record_id, record_type, payload_bytes, payload_digest,
     refers_to (page id), refers_to_record, payload (null for revisits, or for
-    all with ``payload=False``) of the response and revisit records; digests
-    are checked against the blocks."""
+    all with ``payload=False``) of the response and revisit records.
+
+    Every block is held against its digest.  A response's payload length and
+    digest are computed anew from the payload read, and held against what the
+    record declares; a revisit has no payload and keeps what it declares."""
     columns = ["page_id", "url", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_to",
                "refers_to_record", "payload"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
@@ -281,8 +300,11 @@ def read_warc(spark: SparkSession, path: str, page_type: str = "long", payload:
                             continue
                         http, _, body = _http(block)
                         revisit = h["WARC-Type"] == "revisit"
-                        rows.append((http.get("X-Page-Id"), h["WARC-Target-URI"], h["WARC-Record-ID"], h["WARC-Type"],
-                                     int(http["Content-Length"]), h["WARC-Payload-Digest"].partition(":")[2],
+                        declared = int(http["Content-Length"]), h["WARC-Payload-Digest"].partition(":")[2]
+                        found = declared if revisit else (len(body), _sha1(body))
+                        if found != declared:
+                            raise ValueError(f"WARC payload is not the declared one: {h['WARC-Record-ID']}")
+                        rows.append((http.get("X-Page-Id"), h["WARC-Target-URI"], h["WARC-Record-ID"], h["WARC-Type"], *found,
                                      h.get("X-Refers-To-Page-Id"), h.get("WARC-Refers-To"),
                                      None if revisit or not payload else body.decode("utf-8", "surrogatepass")))
                         size += len(body) if payload else 0
@@ -301,15 +323,17 @@ def convert(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             min_bytes: int = 0, folder: str | None = None, payload: bool = True) -> DataFrame:
     """Pages to ARC, ARC to WARC, and the WARC archives read back (`read_warc`).
 
-    ``folder`` (default: a fresh one below the shared checkpoint folder) gets
-    ``arc/`` and ``warc/``.  Of records with equal payloads exactly one is a
+    ``folder`` gets ``arc/`` and ``warc/``; without one a fresh folder below
+    the shared checkpoint folder holds them, and the legacy archives go once
+    they are converted.  Of records with equal payloads exactly one is a
     response.  Empty payloads count like others from ``min_bytes`` 0; an empty
     table gives empty archives and an empty result.
     """
-    spark = pages.sparkSession
-    folder = folder or f"{checkpoint_dir(spark)}/llm-archive-{uuid.uuid4().hex}"
-    write_arc(pages, f"{folder}/arc", id_col, url_col, html_col)
-    legacy = f"{folder}/arc"
-    write_warc(with_revisits(read_arc(spark, legacy), read_arc(spark, legacy, payload=False), min_bytes),
-               f"{folder}/warc")
-    return read_warc(spark, f"{folder}/warc", dict(pages.dtypes)[id_col], payload)
+    spark, page_type = pages.sparkSession, dict(pages.dtypes)[id_col]
+    own = folder or fresh_folder(spark, "archive")
+    write_arc(pages, f"{own}/arc", id_col, url_col, html_col)
+    records, digests = (read_arc(spark, f"{own}/arc", payload=whole) for whole in (True, False))
+    write_warc(with_revisits(records, digests, min_bytes, page_type=page_type), f"{own}/warc")
+    if not folder:
+        unstage(spark, f"{own}/arc")
+    return read_warc(spark, f"{own}/warc", page_type, payload)
