@@ -10,10 +10,10 @@ checksum) rows move: texts stay where they are until they are written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlake.llm._base import run_window, sorted_runs
+from stationlake.llm._base import run_window, sorted_runs, stage_at, unstage
 
 #: Bytes counted for a document besides its text (a length prefix).
 OVERHEAD = 8
@@ -29,10 +29,14 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     With fewer documents than shards some shards are empty, and an empty table
     gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    thin = docs.select(F.col(id_col).alias("id"),
-                       (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
-                       F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    return _placed(docs, F.col(id_col), F.col(text_col), n_shards).withColumnRenamed("id", id_col)
+
+
+def _placed(docs: DataFrame, id_: Column, text: Column, n_shards: int, *others: str) -> DataFrame:
+    """id, size, text_crc32, shard, slot and ``others``, one row per row."""
+    text = F.coalesce(text, F.lit(""))
+    thin = docs.select(id_.alias("id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
+                       F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *others)
     order = ["id", "text_crc32", "size"]
     runs = sorted_runs(thin, order, "sizes")
     # One row per range partition: a single small window orders them.
@@ -50,26 +54,22 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
               .withColumn("shard", F.expr(f"cast((2 * first + size) * {n_shards} div (2 * all_bytes) as int)")))
     starts = placed.groupBy("shard").agg(F.min("rank").alias("start"))
     return (placed.join(F.broadcast(starts), "shard")  # n_shards rows at most
-            .select(F.col("id").alias(id_col), "size", "text_crc32", "shard",
-                    (F.col("rank") - F.col("start")).alias("slot")))
+            .select("id", "size", "text_crc32", "shard", (F.col("rank") - F.col("start")).alias("slot"), *others))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents below ``path/shard=<n>``.
+    """Write the documents, all their columns, below ``path/_shard=<n>``.
 
-    Documents meet their shard by (id, checksum, size); each shard is written
+    The input is copied once under row numbers, so every row goes to its own
+    shard, also among rows of one id, size and checksum.  Each shard is written
     by several tasks of bounded size, ids ascending within a file.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = [F.col(id_col).alias("_id"), F.crc32(F.encode(text, "UTF-8")).alias("_crc"),
-            (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("_size")]
-    shards = (assign_shards(docs, n_shards, id_col, text_col)
-              .groupBy(F.col(id_col).alias("_sid"), F.col("text_crc32").alias("_scrc"), F.col("size").alias("_ssize"))
-              .agg(F.min("shard").alias("shard")))
-    own = [c for c in docs.columns if c != "shard"]
-    (docs.select(*own, *keys)
-     .join(shards, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_crc") == F.col("_scrc"))
-           & (F.col("_size") == F.col("_ssize")))
-     .select(*own, "shard")
-     .hint("rebalance", "shard").sortWithinPartitions("shard", id_col)
-     .write.partitionBy("shard").parquet(path))
+    if "_shard" in docs.columns:
+        raise ValueError("the column _shard names the folders")
+    rows, copy = stage_at(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("row")), "shard-rows")
+    row = F.col("row")
+    shards = _placed(rows, row[id_col], row[text_col], n_shards, "_row").select("_row", F.col("shard").alias("_shard"))
+    (rows.join(shards, "_row").hint("rebalance", "_shard").sortWithinPartitions("_shard", row[id_col])
+     .select(*[row[c].alias(c) for c in docs.columns], "_shard")
+     .write.partitionBy("_shard").parquet(path))
+    unstage(docs.sparkSession, copy)
