@@ -72,7 +72,7 @@ WITH RECURSIVE counted AS (
     SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
 parts AS (SELECT doc_id, n, unnest(range(greatest((n + 4095) // 4096, 1))) AS part FROM counted),
 seqs AS (SELECT doc_id, part, part * 4096 AS start, least(n - part * 4096, 4096) AS n_tokens FROM parts),
-stepped AS (SELECT *, greatest((n_tokens + 31) // 32, 1) * 32 AS step FROM seqs),
+stepped AS (SELECT *, greatest(n_tokens, 1) AS step FROM seqs),
 hist AS (SELECT row_number() OVER (ORDER BY step) AS j, step, sum(count(*)) OVER (ORDER BY step) AS c,
                 sum(sum(n_tokens)) OVER (ORDER BY step) AS t FROM stepped GROUP BY step),
 ends AS (SELECT j, step, c, t FROM hist UNION ALL SELECT 0, 0, 0, 0),

@@ -2,9 +2,9 @@
 
 1. Documents are cut into sequences of at most ``max_tokens`` words (whole
    texts: a long document gives several sequences).
-2. The global histogram of sequence lengths, counted in steps of
-   ``pad_multiple``, has at most ``max_tokens / pad_multiple`` rows and goes
-   to the driver, where dynamic programming picks the ``n_buckets`` upper
+2. The global histogram of sequence lengths (in steps of ``pad_multiple``
+   words, one by default) has at most ``max_tokens / pad_multiple`` rows and
+   goes to the driver, where dynamic programming picks the ``n_buckets`` upper
    bounds that minimise the total padding.
 3. Each sequence takes the smallest bucket that holds it; inside a bucket,
    in (length, id, part) order, every ``token_budget // bound`` sequences form
@@ -14,8 +14,7 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,32 +49,31 @@ def optimal_bounds(histogram: list[tuple[int, int, int]], n_buckets: int) -> lis
     cost of lengths i..j-1 in one bucket is length[j-1] * sequences - tokens.
     Ties take the earliest cut.
     """
-    lengths = [h[0] for h in histogram]
-    count = [0, *accumulate(h[1] for h in histogram)]
-    total = [0, *accumulate(h[2] for h in histogram)]
+    lengths = np.array([h[0] for h in histogram], dtype=np.int64)
+    count = np.cumsum([0, *(h[1] for h in histogram)], dtype=np.int64)
+    total = np.cumsum([0, *(h[2] for h in histogram)], dtype=np.int64)
     n = len(lengths)
-    n_buckets = min(n_buckets, n)
-    infinite = float("inf")
-    best = [0] + [infinite] * n
-    cuts: list[list[int]] = []
-    for _ in range(n_buckets):
-        nxt, cut = [infinite] * (n + 1), [0] * (n + 1)
+    infinite = np.iinfo(np.int64).max // 2
+    best = np.full(n + 1, infinite)
+    best[0] = 0
+    cuts: list[np.ndarray] = []
+    for _ in range(min(n_buckets, n)):
+        nxt, cut = np.full(n + 1, infinite), np.zeros(n + 1, dtype=np.int64)
         for j in range(1, n + 1):
-            for i in range(j):
-                padding = best[i] + lengths[j - 1] * (count[j] - count[i]) - (total[j] - total[i])
-                if padding < nxt[j]:
-                    nxt[j], cut[j] = padding, i
+            padding = best[:j] + lengths[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])
+            cut[j] = padding.argmin()  # the first of equal ones
+            nxt[j] = min(padding[cut[j]], infinite)
         best = nxt
         cuts.append(cut)
     bounds, j = [], n
     for cut in reversed(cuts):
-        bounds.append(lengths[j - 1])
-        j = cut[j]
+        bounds.append(int(lengths[j - 1]))
+        j = int(cut[j])
     return bounds[::-1]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096,
-         pad_multiple: int = 32, n_buckets: int = 8, token_budget: int = 65536,
+         pad_multiple: int = 1, n_buckets: int = 8, token_budget: int = 65536,
          n_tokens: Column | None = None) -> DataFrame:
     """``id_col``, part, start, n_tokens, bucket, bucket_tokens, batch, slot.
 
