@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and
 extra columns with clashing names, for every operator and stage."""
 
+import zlib
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +119,23 @@ def test_shard_files(spark, scratch):
     assert got(spark.read.parquet(f"{scratch}/shards"), "doc_id", "text") == sorted(rows, key=key)
 
 
+def test_shard_files_keep_every_column_and_row(spark, scratch):
+    """A column named shard, null ids, and rows of one id, size and checksum."""
+    # Two texts of equal length and equal CRC-32.
+    a, b = "plumless", "buckeroo"
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    rows = [(None, "x", 7), (None, None, None)] + [(1, t, k) for k, t in enumerate([a, b] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").withColumn("row", F.lit("clash"))
+    sharding.write_shards(docs, f"{scratch}/s", 5)
+    back = spark.read.parquet(f"{scratch}/s")
+    assert got(back, "doc_id", "text", "shard", "row") == sorted(((*r, "clash") for r in rows), key=key)
+    counts = {r["_shard"]: r["count"] for r in back.groupBy("_shard").count().collect()}
+    planned = {r.shard: r["count"] for r in sharding.assign_shards(docs, 5).groupBy("shard").count().collect()}
+    assert counts == planned
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("_shard", F.lit(1)), f"{scratch}/t", 5)
+
+
 PAGES = [(1, "http://a/x", "<p>one</p>"), (2, None, None), (2, None, None), (None, "http://a/y z\n", "<p>one</p>"),
          (3, "http://a/x", ""), (4, "not a url", "<p>" + "w " * 50000), (5, "http://A/q?x#y", "<p>&am"), (6, "http://a/x", "<p>one</p>")]
 
@@ -150,6 +169,40 @@ def test_warc(spark, pages):
     assert warc.convert(pages.limit(0)).count() == 0
 
 
+def test_warc_urls_like_version_blocks(spark):
+    fake = "1 0 someone\nURL IP-address Archive-date Content-type Archive-length\n"
+    rows = [(k, "filedesc://x.arc", f"<p>{k}</p>") for k in range(6)] + [(9, "filedesc:", fake), (10, "filedesc://a b", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert got(warc.convert(df), "page_id", "payload") == sorted(((i, h) for i, _, h in rows), key=key)
+
+
+def test_warc_text_ids(spark):
+    rows = [(i, "http://a/", "<p>same</p>") for i in ("p9", "b2", "10", "p10", "9")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    assert got(warc.convert(df), "page_id", "record_type", "refers_to") == sorted(
+        ((i, "response" if i == "10" else "revisit", None if i == "10" else "10") for i, _, _ in rows), key=key)
+
+
+def test_warc_payloads_are_recomputed(spark, pages, scratch):
+    """A response whose payload is not what its record declares is refused."""
+    warc.write_arc(pages, f"{scratch}/arc")
+    records = warc.with_revisits(warc.read_arc(spark, f"{scratch}/arc"), warc.read_arc(spark, f"{scratch}/arc", payload=False))
+    warc.write_warc(records.withColumn("payload_digest", F.lit("A" * 32)), f"{scratch}/warc")
+    with pytest.raises(Exception, match="not the declared one"):
+        warc.read_warc(spark, f"{scratch}/warc", payload=False).collect()
+
+
+def test_staging_scope(spark, docs):
+    from stationlake.llm._base import staging
+
+    with staging(spark):
+        placed = sharding.assign_shards(docs, 3)
+        files = set(placed.inputFiles())
+        assert files and placed.count() == len(ROWS)
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        placed.count()
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, max_tokens=4096, token_budget=8192).collect()
     total = {}

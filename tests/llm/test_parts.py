@@ -101,7 +101,7 @@ def page_texts(spark, rows):
 
 def test_site_notice_inside_articles_goes_and_copied_articles_stay(spark):
     """Differencing decides inside the article too; a copied article and its
-    versions keep their text, and lines beside an article stay if they differ."""
+    versions keep their text, and lines beside an article are no part of it."""
     notice, page = "<p>This site moves in May</p>", "<p>By writer {0}</p><article><h1>Story {0}</h1><p>What happened in case {0}</p>{1}</article>"
     rows = [(k, f"http://h/a/{k}", page.format(k, notice)) for k in range(6)]
     copy = "<article><h1>Agency report</h1><p>Long text of the agency, the same everywhere</p><p>Version {0}</p>{1}</article>"
@@ -109,13 +109,30 @@ def test_site_notice_inside_articles_goes_and_copied_articles_stay(spark):
     rows += [(20 + k, f"http://other/b/{k}", copy.format(k, "")) for k in range(9)]
     rows += [(30 + k, f"http://third/b/{k}", page.format(k, "<p>Said twice</p>")) for k in range(2)]
     got = page_texts(spark, rows)
-    want = {k: f"By writer {k}\nStory {k}\nWhat happened in case {k}" for k in range(6)}
+    want = {k: f"Story {k}\nWhat happened in case {k}" for k in range(6)}
     report = "Agency report\nLong text of the agency, the same everywhere\nVersion "
     want |= {10 + k: f"{report}{k}" for k in range(2)} | {20 + k: f"{report}{k}" for k in range(9)}
-    want |= {30 + k: f"By writer {k}\nStory {k}\nWhat happened in case {k}\nSaid twice" for k in range(2)}
+    want |= {30 + k: f"Story {k}\nWhat happened in case {k}\nSaid twice" for k in range(2)}
     assert got == want
 
 
+def test_notices_by_their_place(spark):
+    """Lines under named elements and at the edges of most articles go; the
+    same prose scattered through the texts stays, also where neighbours share it."""
+    page = ('<article><h1>Story {0}</h1><p class="note-{0} hint">Read our rules</p><p>Case {0} begins</p>{1}'
+            '<p>And so it goes.</p><p>Case {0} ends here after all</p></article><p>Home / Section {0}</p><p>Posted {0} May</p>')
+    middle = "<div class=boxed><p>Tips: call us</div>"
+    rows = [(k, f"http://h/a/{k:02d}", page.format(k, middle if k not in (8, 9) else "")) for k in range(20)]
+    rows += [(100 + k, f"http://few/a/{k}", page.format(k, "")) for k in range(4)]  # too few to tell
+    got = page_texts(spark, rows)
+    body = "Story {0}\n{1}Case {0} begins\nAnd so it goes.\nCase {0} ends here after all"
+    want = {k: body.format(k, "") for k in range(20)} | {100 + k: body.format(k, "Read our rules\n") for k in range(4)}
+    assert got == want
+    teaser = "<article><p>Read more {0}</p></article><p>The long story {0} itself, beside a short teaser</p>"
+    assert page_texts(spark, [(k, f"http://t/{k}", teaser.format(k)) for k in range(2)]) == {
+        k: f"Read more {k}\nThe long story {k} itself, beside a short teaser" for k in range(2)}
+
+
 def test_copies_are_no_neighbours(spark):
     """Pages without article beside their own copies: two, and runs of copies
     longer than a range partition, at both ends of the host and in its middle."""

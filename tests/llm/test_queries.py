@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -10,7 +11,7 @@ import pytest
 import tiktoken
 from llm_data import SF001, documents, pages  # noqa: F401
 
-from stationlake.llm import bpe, html_diff, packing, quality_rules, queries
+from stationlake.llm import bpe, html_diff, license_rules, packing, quality_rules, queries
 
 
 def rows_of(df, *cols):
@@ -78,9 +79,12 @@ def test_op5(spark, documents):
     assert max(size.values()) - min(size.values()) <= 2 * max(r[1] for r in got)
 
 
-def test_op6_is_the_article(spark, pages):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_op6_is_the_article(spark, sf):
     """The generator's pages: blocks of the article element, nothing else."""
-    got = {r.page_id: r for r in run(spark, "op6_").collect()}
+    folder = f"/root/testdata/{sf}"
+    pages = [tuple(r) for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = {r.page_id: r for r in queries.REGISTRY["op6_html_text"](spark, folder).collect()}
     assert len(got) == len(pages)
     import html
     for i, url, page in pages:
@@ -138,7 +142,7 @@ def test_op8_covers_every_text_within_budget(spark, documents):
     # No other choice of eight bounds pads less.
     hist = defaultdict(lambda: [0, 0])
     for r in rows:
-        step = max(1, -(-r.n_tokens // 32)) * 32
+        step = max(1, r.n_tokens)
         hist[step][0] += 1
         hist[step][1] += r.n_tokens
     padding = sum(r.bucket_tokens - r.n_tokens for r in rows)
@@ -156,6 +160,42 @@ def test_op9_base(spark, documents):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
 
 
+def brute_licences(text):
+    """Labels, detections and score by the definition: all pairs of intervals."""
+    text = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    norm = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", f" {text} ")
+    found = [(m.start(), m.end(), c, label, weight) for c, label, keyword, e, weight in license_rules.rules() if keyword in norm
+             for m in re.finditer(e, norm)]
+
+    def inside(x, y):
+        """Whether ``y`` suppresses ``x``."""
+        if not (y[0] <= x[0] and x[1] <= y[1]) or y[2] > x[2]:
+            return False
+        return y[2] < x[2] or y[:2] != x[:2] or y[3] < x[3]
+    left = {x for x in found if not any(inside(x, y) for y in found)}
+    base = {label for phrase, label in license_rules.BASE if f" {phrase} " in norm}
+    return (",".join(sorted({x[3] for x in left} | base)), len(left), max([x[4] for x in left] + [0.8] * bool(base) + [0.0]))
+
+
+def test_op9_labels_and_score(spark, documents):
+    rows = documents + [(10**6, "GPL v3 or later, gnu gpl, lgpl 2.1; MIT License " * 40), (10**6 + 1, "\u212a licence cc \u212a by gp\u0130 mit license"),
+                        (10**6 + 2, " ".join(x[3].replace("(?<= )(?:", "").replace(")(?= )", "") for x in license_rules.rules()[:90]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = rows_of(license_rules.scan(df), "doc_id", "labels", "n_detections", "score")
+    assert got == sorted(((i, *brute_licences(t)) for i, t in rows), key=repr)
+
+
+def test_op9_one_text_of_many_matches(spark):
+    def scan(n):
+        start = time.perf_counter()
+        rows = license_rules.scan(spark.createDataFrame([(1, "gpl x cc by " * n)], "doc_id long, text string")).collect()
+        return rows[0], time.perf_counter() - start
+    scan(10)
+    (_, few), (row, many) = scan(1000), scan(64000)
+    assert row.n_detections == 64000 and row.n_base == 64000 and row.labels == "cc-by,gpl"
+    assert many - few < 10  # the square would take minutes
+
+
 def test_op10(spark, documents):
     got = rows_of(run(spark, "op10_"), "doc_id", "fingerprint", "component_id")
     assert got == sorted(brute.components(documents), key=repr)
