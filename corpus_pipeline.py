@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from stationlake.llm import line_dedup, packing, quality_rules, simhash
-from stationlake.llm._base import table
+from stationlake.llm._base import staging, table
 from stationlake.session import checkpoint_dir
 
 
@@ -49,6 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/llm-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with staging(spark):  # what the stage's operator staged goes once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
