@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -76,8 +77,49 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder below the checkpoint folder and read
+    back: it is computed once, and its lineage ends there."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_staging(spark: SparkSession, path: str) -> None:
     """Delete a staging copy once the write that read it has committed."""
     fs, hpath = hadoop_path(spark, path)
     if fs.exists(hpath):
         fs.delete(hpath, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Move a file or folder; its new parent is made first."""
+    fs, source = hadoop_path(spark, old)
+    target = hadoop_path(spark, new)[1]
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"{old} cannot be renamed to {new}")
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step: under another name, then renamed."""
+    folder, _, name = path.rpartition("/")
+    draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    fs, hpath = hadoop_path(spark, draft)
+    out = fs.create(hpath, True)
+    out.write(text.encode())
+    out.close()
+    drop_staging(spark, path)
+    rename(spark, draft, path)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file; None if there is none."""
+    fs, hpath = hadoop_path(spark, path)
+    if not fs.exists(hpath):
+        return None
+    stream = fs.open(hpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
