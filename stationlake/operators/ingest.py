@@ -139,17 +139,18 @@ def align(df: DataFrame, schema: T.StructType, on_unknown: str = "fail",
     fails the job (ANSI cast); with ``strict=False`` it becomes null.
     """
     keep = keep or []
-    names = set(schema.fieldNames())
-    unknown = [c for c in df.columns if c not in names and c not in keep]
+    names, have = set(schema.fieldNames()), {f.name: f.dataType for f in df.schema.fields}
+    unknown = [c for c in have if c not in names and c not in keep]
     if unknown and on_unknown == "fail":
         raise ValueError(f"the table has no column for {', '.join(sorted(unknown))}")
     cols = []
     for f in schema.fields:
-        if f.name in df.columns:
-            c = F.col(f.name)
-            cols.append((c.cast(f.dataType) if strict else c.try_cast(f.dataType)).alias(f.name)
-                        if df.schema[f.name].dataType != f.dataType else c)
-        else:
+        if f.name not in have:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+        elif have[f.name] == f.dataType:
+            cols.append(f"`{f.name}`")
+        else:
+            c = F.col(f.name)
+            cols.append((c.cast(f.dataType) if strict else c.try_cast(f.dataType)).alias(f.name))
     return df.select(*cols, *keep)
 

@@ -46,28 +46,25 @@ def present_fields(df: DataFrame, fields: list[str] | None = None) -> list[str]:
 
 def stat_exprs(fields: list[str], with_mode: bool) -> list[Column]:
     """A10: the per-field statistic expressions, in column order."""
-    exprs: list[Column] = []
-    for f in fields:
-        c = F.col(f)
-        exprs += [
-            F.avg(c).alias(stat_column(f, "avg")),
-            F.min(c).alias(stat_column(f, "min")),
-            F.max(c).alias(stat_column(f, "max")),
-            F.stddev_samp(c).alias(stat_column(f, "std")),
-        ]
-        if with_mode:
-            exprs.append(F.mode(c, deterministic=True).alias(stat_column(f, "mode")))
-    return exprs
+    made = {"avg": "avg({c})", "min": "min({c})", "max": "max({c})", "std": "stddev_samp({c})"}
+    if with_mode:
+        made["mode"] = "mode({c}, true)"
+    # As SQL text: one call to the JVM each, where column functions take several.
+    return [F.expr(e.format(c=f"`{f}`")).alias(stat_column(f, name)) for f in fields for name, e in made.items()]
 
 
 def _bucketed(df: DataFrame, interval: str, fields: list[str]) -> DataFrame:
     return df.select(
         F.col(STATION_COL),
         bucket(TIMESTAMP_COL, interval).alias(TIMESTAMP_COL),
-        *[F.col(f).cast("double").alias(f) for f in fields],
+        *_doubles(fields),
     )
 
 
+def _doubles(fields: list[str]) -> list[Column]:
+    return [F.expr(f"cast(`{f}` AS double) AS `{f}`") for f in fields]
+
+
 def modes_long(bucketed: DataFrame, fields: list[str]) -> DataFrame:
     """Mode of every field per (station, bucket), without per-group maps.
 
@@ -93,10 +90,8 @@ def modes_long(bucketed: DataFrame, fields: list[str]) -> DataFrame:
 
 def _value_counts(bucketed: DataFrame, fields: list[str]) -> DataFrame:
     """(station, bucket, fid, v, n): how often each field has each value."""
-    pairs = F.array(*[
-        F.struct(F.lit(i).cast("smallint").alias("fid"), F.col(f).alias("v"))
-        for i, f in enumerate(fields)
-    ])
+    pairs = F.expr("array(" + ", ".join(
+        f"named_struct('fid', {i}S, 'v', `{f}`)" for i, f in enumerate(fields)) + ")")
     keys = [STATION_COL, TIMESTAMP_COL]
     return (bucketed.select(*keys, F.inline(pairs)).filter(F.col("v").isNotNull())
             .groupBy(*keys, "fid", "v").agg(F.count(F.lit(1)).alias("n")))
@@ -104,18 +99,15 @@ def _value_counts(bucketed: DataFrame, fields: list[str]) -> DataFrame:
 
 def _most_frequent(counts: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One row per ``keys`` with the mode of every field that repeats a value."""
-    rank = F.struct(F.col("n"), F.negative(F.col("v")))
-    return counts.filter(F.col("n") >= 2).groupBy(*keys).agg(*[
-        F.max_by(F.col("v"), F.when(F.col("fid") == i, rank)).alias(stat_column(f, "mode"))
-        for i, f in enumerate(fields)
-    ])
+    ranked = counts.filter(F.col("n") >= 2).withColumn("_rank", F.struct("n", F.negative("v")))
+    return ranked.groupBy(*keys).agg(*[
+        F.expr(f"max_by(v, CASE WHEN fid = {i} THEN _rank END) AS `_mode_{f}`") for i, f in enumerate(fields)])
 
 
 def _with_modes(stats: DataFrame, modes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """A field without a repeated value has its minimum as mode."""
-    return stats.join(modes, keys, "left").withColumns({
-        stat_column(f, "mode"): F.coalesce(modes[stat_column(f, "mode")], stats[stat_column(f, "min")])
-        for f in fields})
+    filled = [F.expr(f"coalesce(`_mode_{f}`, `{stat_column(f, 'min')}`)").alias(stat_column(f, "mode")) for f in fields]
+    return stats.join(modes, keys, "left").select(*stats.columns, *filled)
 
 
 def _ordered(fields: list[str]) -> list[str]:
@@ -169,7 +161,7 @@ def rollup_all(df: DataFrame, intervals: list[str] | None = None, fields: list[s
         raise ValueError("no granularity was asked for")
     fields = present_fields(df, fields)
     keys = ["granularity", STATION_COL, TIMESTAMP_COL]
-    out = (_dealt(df, intervals, *[F.col(f).cast("double").alias(f) for f in fields]).groupBy(*keys)
+    out = (_dealt(df, intervals, *_doubles(fields)).groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("sample_count"), *stat_exprs(fields, with_mode=False)))
     if fields:
         counts = _value_counts(_bucketed(df, intervals[0], fields), fields)

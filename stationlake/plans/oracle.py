@@ -239,6 +239,30 @@ _FEED_RAW = ", ".join(f'ROUND("{f}", 9) AS "{f}_avg", ' + ", ".join(
     f'CAST(NULL AS DOUBLE) AS "{f}_{st}"' for st in ROLLUP_STATS[1:]) for f in READING_FIELDS)
 
 
+# The readings after the corrections.
+CORRECTED_SQL = f"""SELECT * REPLACE (seq + 1000000000000 * (seq % 50 = 10)::INT AS seq, tempf + (seq % 50 = 10)::INT::DOUBLE AS tempf)
+  FROM ({READINGS_SQL}) r"""
+
+# Rejected reports and why.
+REJECTED = f"""SELECT event_id, reject_reason FROM (
+        SELECT r.event_id,
+          CASE WHEN r.PASSKEY IS NULL THEN 'missing PASSKEY'
+               WHEN f.station_id IS NULL THEN 'unknown station'
+               WHEN r.dateutc IS NULL THEN 'missing dateutc'
+               WHEN r.invalid <> '' THEN 'invalid number: ' || r.invalid END AS reject_reason
+        FROM ({REP}) r LEFT JOIN ({FIRST_ST}) f ON r.user_id = f.user_id) x
+      WHERE reject_reason IS NOT NULL"""
+
+
+def _stream_channel(interval: str) -> str:
+    """The last bucket of each station, as the last batch that touched it left it."""
+    unit = _TRUNC[interval]
+    return f"""SELECT '{interval}' AS data_type, s.PASSKEY, date_trunc('{unit}', s."timestamp")::TIMESTAMP AS "timestamp",
+        any_value(n.batch) AS batch, count(*) AS sample_count, NULL::DOUBLE AS tempf, max(s.tempf) AS tempf_max
+      FROM stored s JOIN newest n ON n.PASSKEY = s.PASSKEY
+        AND date_trunc('{unit}', s."timestamp") = date_trunc('{unit}', n.last) GROUP BY 2, 3"""
+
+
 ORACLE: dict[str, str] = {
     "rollup_1m": rollup_sql("1m"),
     "rollup_1h": rollup_sql("1h"),
@@ -266,14 +290,7 @@ ORACLE: dict[str, str] = {
         CAST(date_trunc('day', ts) AS TIMESTAMP) AS iso_date,
         CAST(NULL AS TIMESTAMP) AS iso_bad
       FROM events""",
-    "rejected_reports": f"""SELECT event_id, reject_reason FROM (
-        SELECT r.event_id,
-          CASE WHEN r.PASSKEY IS NULL THEN 'missing PASSKEY'
-               WHEN f.station_id IS NULL THEN 'unknown station'
-               WHEN r.dateutc IS NULL THEN 'missing dateutc'
-               WHEN r.invalid <> '' THEN 'invalid number: ' || r.invalid END AS reject_reason
-        FROM ({REP}) r LEFT JOIN ({FIRST_ST}) f ON r.user_id = f.user_id) x
-      WHERE reject_reason IS NOT NULL""",
+    "rejected_reports": REJECTED,
     "to_metric": WIDE_SQL,
     "unit_functions": f"""SELECT seq,
         windspeedmph * 1.609344{_D} AS windspeed_kmh,
@@ -323,7 +340,8 @@ ORACLE: dict[str, str] = {
     "scope_migrate_strict": f"""SELECT ordinal, title, weatherstations FROM ({MIGRATED}) m WHERE n_unresolved = 0""",
     "scope_stations": f"""WITH res AS ({SCOPE_RES}), acc AS ({ACCEPTED})
       SELECT DISTINCT res.user_id AS ordinal, acc.station_id AS PASSKEY, acc.event_id AS seq
-      FROM acc JOIN res ON res.v = '*' OR res.v = acc.station_id WHERE res.user_id IN (1, 2, 6, 7)""",
+      FROM acc JOIN res ON res.v = '*' OR res.v = acc.station_id WHERE res.v <> '*' AND res.user_id IN (
+        SELECT user_id FROM res GROUP BY user_id HAVING count(DISTINCT v) = 1)""",
     "scope_visible": f"""WITH res AS ({SCOPE_RES}), acc AS ({ACCEPTED}),
       per_station AS (SELECT station_id, count(*) AS n FROM acc GROUP BY station_id),
       wild AS (SELECT DISTINCT user_id FROM res WHERE v = '*'),
@@ -366,3 +384,48 @@ ORACLE: dict[str, str] = {
             lambda x: trim(x)), lambda x: x <> '') AS l
         FROM events) t""",
 }
+
+ORACLE |= {
+    "rollup_merged": rollup_sql("1d", CORRECTED_SQL),
+    "union_supertypes": f"""SELECT seq, CASE WHEN old THEN seq::VARCHAR ELSE 'n' || seq::VARCHAR END AS code,
+        CASE WHEN old THEN date_trunc('day', "timestamp")::TIMESTAMP ELSE "timestamp" END AS day, humidity,
+        CASE WHEN old THEN NULL ELSE stationtype END AS stationtype, humidity AS level,
+        CASE WHEN old THEN 2 ELSE 1 END::BIGINT AS n_levels
+      FROM (SELECT *, "timestamp" < TIMESTAMP '2024-01-15 00:00:00' AS old FROM ({READINGS_SQL}) r0) r""",
+    "strict_cast": aligned_sql(),
+    "report_log": f"SELECT event_id, PASSKEY, tempf_text AS tempf, model, freq, uv_text AS uv FROM ({REP}) r",
+    "registry_stations": f"""SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, title, salted_station_hash, passkey_digest
+      FROM ({ST}) s""",
+    "registry_scopes": f"""WITH s AS (SELECT user_id, station, min(event_id) AS first FROM (
+          SELECT user_id, event_id,
+                 CASE WHEN event_type = 'purchase' AND value > 300.0 THEN '*'
+                      WHEN user_id % 4 = 1 THEN 'PK' || CAST(user_id AS VARCHAR) ELSE 'PK' || k END AS station
+          FROM ({EV}) e WHERE user_id % 7 <> 0) g GROUP BY ALL),
+      l AS (SELECT user_id, string_agg(station, ',' ORDER BY first) AS weatherstations FROM s GROUP BY 1),
+      u AS (SELECT user_id, string_agg(DISTINCT n.endpoint, ',' ORDER BY n.endpoint) AS endpoints FROM events e JOIN (VALUES
+        ('view', '/data/{{station_id}}/{{data_type}}/current'), ('click', '/data/{{station_id}}/{{data_type}}/range'),
+        ('signup', '/ws/{{station_id}}/{{data_type}}'), ('error', '/storage/status'), ('purchase', '*')) n(kind, endpoint)
+        ON e.event_type = n.kind GROUP BY 1)
+      SELECT row_number() OVER (ORDER BY user_id) - 1 AS ordinal, 'key ' || CAST(user_id % 5 AS VARCHAR) AS title, endpoints,
+             coalesce(weatherstations, '') AS weatherstations FROM u LEFT JOIN l USING (user_id)""",
+    # Derived fields keep their values: only the source field is corrected.
+    "stored_raw": aligned_sql(CORRECTED_SQL),
+    "stored_rollups": rollup_sql("1h", CORRECTED_SQL),
+    "csv_export": aligned_sql(where="""WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'"""),
+    # Batches by the parity of the arrival number; a channel's last message is of the last batch with an accepted report.
+    "stream_ingest": f"""WITH stored AS ({STORED}), acc AS (
+        SELECT station_id AS PASSKEY, CAST(date_trunc('second', ts) AS TIMESTAMP) AS t, event_id, event_id % 2 AS batch,
+               TRY_CAST(tempf_text AS DOUBLE) AS tempf FROM ({ACCEPTED}) a),
+      newest AS (SELECT PASSKEY, max(batch) AS batch, max(t) AS last FROM acc GROUP BY PASSKEY),
+      days AS ({rollup_sql("1d", "SELECT * FROM stored", fields=["tempf", "thi"])}),
+      feed AS (
+        SELECT 'raw' AS data_type, PASSKEY, t AS "timestamp", batch, NULL::BIGINT AS sample_count, tempf, NULL::DOUBLE AS tempf_max
+        FROM acc QUALIFY row_number() OVER (PARTITION BY PASSKEY ORDER BY batch DESC, t DESC, event_id DESC) = 1
+        UNION ALL {_stream_channel("1m")} UNION ALL {_stream_channel("1h")} UNION ALL {_stream_channel("1d")})
+      SELECT 'stored' AS kind, seq AS event_id, PASSKEY, "timestamp", tempf, NULL::VARCHAR AS reject_reason, NULL::BIGINT AS batch,
+             NULL::BIGINT AS sample_count, {", ".join(f"NULL::DOUBLE AS {f}_{st}" for f in ("tempf", "thi") for st in ROLLUP_STATS)}
+        FROM stored
+      UNION ALL BY NAME SELECT 'refused' AS kind, event_id, reject_reason FROM ({REJECTED}) r
+      UNION ALL BY NAME SELECT '1d' AS kind, * FROM days
+      UNION ALL BY NAME SELECT 'feed ' || data_type AS kind, * EXCLUDE data_type FROM feed""",
+}

@@ -7,6 +7,7 @@ the matching SQL in ``plans/oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,17 @@ from stationlake.functions.text import split_csv, with_form
 from stationlake.functions.times import bucket, parse_dateutc, parse_iso
 from stationlake.operators import ingest, stations
 from stationlake.operators.rollup import rollup
+from stationlake.operators.rollup_state import combine, rollup_of, state_of
 from stationlake.operators.upsert import last_row, latest_wins, union_evolved
 from stationlake.schema import (AGGREGATABLE_FIELDS, INTERVALS, NUMERIC_PAYLOAD_FIELDS, ROLLUP_STATS, STATION_COL,
                                 TIMESTAMP_COL, raw_schema, stat_column)
 from stationlake.session import checkpoint_dir
+from stationlake.sinks import tables
 from stationlake.sources import fixtures
-from stationlake.sources.store import range_of, resolve
+from stationlake.sources.reports import read_reports, read_scopes, read_stations, with_log_columns
+from stationlake.sources.store import range_of, read_all, resolve
+from stationlake.streaming import ingest as stream
+from stationlake.streaming.log import read_view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -37,7 +43,6 @@ EVOLVED_FROM = "2024-01-15 00:00:00"           # rows before lack `thi`
 NEW_STATION_ORDINAL_BASE = 1_000_000_000_000
 USAGE_WARNING_GB = 0.00001                     # per station: a fixture station sends some 10 KB
 USAGE_ERROR_GB = 0.00003
-SHOWN_RECORDS = (1, 2, 6, 7)                   # access records: one station, many, many, none
 CORRECTED = 10                                 # readings that come again with tempf + 1, by seq modulo 50
 CORRECTED_SEQ = 1_000_000_000_000
 # ------------------------------------------------------------------------------
@@ -63,6 +68,12 @@ def round_stats(df: DataFrame, digits: int = 9) -> DataFrame:
     })
 
 
+def corrections(readings: DataFrame) -> DataFrame:
+    """The readings that come again later, with another temperature."""
+    return readings.filter(F.col("seq") % 50 == CORRECTED).withColumns(
+        {"seq": F.col("seq") + CORRECTED_SEQ, "tempf": F.col("tempf") + 1.0})
+
+
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.readings(spark, sf_dir).select(*READING_COLUMNS)
 
@@ -87,6 +98,27 @@ def rollup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS))
 
 
+@register("rollup_merged")
+def rollup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2, A9: day rollups after corrections, by merging states.
+
+    Minute states of the readings add up to day states.  Some readings then
+    come again with another value; the minutes they touch are taken out of the
+    days as they were and put in as they are now."""
+    readings = fixtures.readings(spark, sf_dir)
+    fields = [f for f in AGGREGATABLE_FIELDS if f in readings.columns]
+    again = corrections(readings)
+    minute = bucket(TIMESTAMP_COL, "1m")
+    touched = again.select(STATION_COL, minute.alias("_minute")).distinct()
+    before = readings.withColumn("_minute", minute).join(touched, [STATION_COL, "_minute"], "left_semi").drop("_minute")
+    after = latest_wins(before.unionByName(again))
+    days = combine(state_of(readings, "1m", fields), "1d").withColumn("sign", F.lit(1))
+    moves = state_of(after, "1m", fields).withColumn("sign", F.lit(1)).unionByName(
+        state_of(before, "1m", fields).withColumn("sign", F.lit(-1)))
+    moves = moves.withColumn(TIMESTAMP_COL, bucket(TIMESTAMP_COL, "1d"))
+    return round_stats(rollup_of(combine(days.unionByName(moves), sign="sign"), fields))
+
+
 # --- S2, P1, P3, F9, K4: the report path ---------------------------------------
 
 @register("form_decode")
@@ -195,14 +227,39 @@ def union_evolved_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_evolved(old, new).select(STATION_COL, TIMESTAMP_COL, "seq", "tempf", "humidity", "thi")
 
 
+@register("union_supertypes")
+def union_supertypes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 across kinds: number and text, date and time, and nested records
+    whose fields differ."""
+    r = fixtures.readings(spark, sf_dir)
+    cut = F.lit(EVOLVED_FROM).cast("timestamp_ntz")
+    at = F.col(TIMESTAMP_COL)
+    old = r.filter(at < cut).select(
+        "seq", F.col("seq").cast("int").alias("code"), F.to_date(at).alias("day"),
+        F.struct(F.col("humidity").cast("int").alias("humidity")).alias("air"),
+        F.array(F.col("humidity").cast("smallint"), F.lit(None)).alias("levels"))
+    new = r.filter(at >= cut).select(
+        "seq", F.concat(F.lit("n"), F.col("seq").cast("string")).alias("code"), at.alias("day"),
+        F.struct("humidity", "stationtype").alias("air"), F.array("humidity").alias("levels"))
+    both = union_evolved(old, new)
+    return both.select("seq", "code", "day", "air.humidity", "air.stationtype", F.col("levels")[0].alias("level"),
+                       F.size("levels").cast("bigint").alias("n_levels"))
+
+
+@register("strict_cast")
+def strict_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame of texts aligned to the typed schema; a text that is none
+    of its type would fail the job."""
+    r = _readings(spark, sf_dir).drop("seq")
+    return ingest.align(r.select(*[F.col(c).cast("string").alias(c) for c in r.columns]), raw_schema())
+
+
 # --- S3-S6, K1, W1, O1, O2, K5 --------------------------------------------------
 
 @register("scan_station")
 def scan_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _readings(spark, sf_dir)
-    again = r.filter(F.col("seq") % 50 == CORRECTED).withColumns(
-        {"seq": F.col("seq") + CORRECTED_SEQ, "tempf": F.col("tempf") + 1.0})
-    r = r.unionByName(again).filter(F.col(STATION_COL) == SCAN_STATION)
+    r = r.unionByName(corrections(r)).filter(F.col(STATION_COL) == SCAN_STATION)
     aligned = ingest.align(r, raw_schema(), keep=["seq"])
     return resolve(aligned, "raw")
 
@@ -317,19 +374,9 @@ def _accepted_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("scope_stations")
 def scope_stations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The readings that some access records see, record by record.
-
-    The (station, seq) pairs are checkpointed, so reports are decoded once
-    for all records."""
-    checkpoint_dir(spark)
-    accepted = _accepted_stations(spark, sf_dir).checkpoint()
-    scopes = _migrated(spark, sf_dir).checkpoint()
-    out = None
-    for ordinal in SHOWN_RECORDS:
-        rows = stations.scope_stations(accepted, scopes, ordinal).select(
-            F.lit(ordinal).cast("bigint").alias("ordinal"), STATION_COL, "seq")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """The accepted readings that each access record of a single station sees."""
+    migrated = _migrated(spark, sf_dir).filter(F.size(F.array_distinct("weatherstations")) == 1)
+    return stations.scope_rows(_accepted_stations(spark, sf_dir), migrated).select("ordinal", STATION_COL, "seq")
 
 
 @register("scope_visible")
@@ -396,3 +443,110 @@ def usage_status_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rep = with_form(fixtures.reports(spark, sf_dir))
     return report_usage(rep, F.col("form")["PASSKEY"], F.col("body"), USAGE_WARNING_GB, USAGE_ERROR_GB)
+
+
+# --- what is written and read again: S1, S7, S8, K1-K3, A9, ST1-ST3, ST6 ----------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/query-{name}-{uuid.uuid4().hex}"
+
+
+@register("report_log")
+def report_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capture log, written and read as its source reads it."""
+    path = _folder(spark, "log")
+    fixtures.report_log(spark, sf_dir).write.json(path)
+    logged = with_log_columns(read_reports(spark, path))
+    f = F.col("form")
+    return logged.select(F.col("received").alias("event_id"), f["PASSKEY"].alias("PASSKEY"), f["tempf"].alias("tempf"),
+                         f["model"].alias("model"), f["freq"].alias("freq"), f["uv"].alias("uv"))
+
+
+@register("registry_stations")
+def registry_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The allow-list as a folder of JSON lines."""
+    path = _folder(spark, "stations")
+    (fixtures.stations(spark, sf_dir).repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal")
+     .drop("ordinal").write.json(path))
+    return read_stations(spark, path)
+
+
+@register("registry_scopes")
+def registry_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access records as a folder of JSON lines."""
+    path = _folder(spark, "scopes")
+    (fixtures.scopes(spark, sf_dir).repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal")
+     .drop("ordinal").write.json(path))
+    return read_scopes(spark, path).select("ordinal", "title", F.array_join("endpoints", ",").alias("endpoints"),
+                                           F.array_join("weatherstations", ",").alias("weatherstations"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """A store whose raw table was written by two upserts, the second of corrections."""
+    base = _folder(spark, "store")
+    aligned = ingest.align(_readings(spark, sf_dir), raw_schema(), keep=["seq"])
+    tables.upsert(spark, aligned, base)
+    tables.upsert(spark, corrections(aligned), base)
+    return base
+
+
+@register("stored_raw")
+def stored_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, S3: upserts into the raw table, read back whole."""
+    return read_all(spark, _stored(spark, sf_dir))
+
+
+@register("stored_rollups")
+def stored_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hour rollup that `recompute_rollups` writes, with the other granularities, from raw."""
+    base = _stored(spark, sf_dir)
+    tables.recompute_rollups(spark, base)
+    fields = [f for f in AGGREGATABLE_FIELDS if f in READING_COLUMNS]
+    return round_stats(read_all(spark, base, "1h").select(
+        TIMESTAMP_COL, STATION_COL, "sample_count", *[stat_column(f, s) for f in fields for s in ROLLUP_STATS]))
+
+
+@register("csv_export")
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: a range as CSV, and its parts read back by the schema."""
+    path = _folder(spark, "csv")
+    aligned = ingest.align(_readings(spark, sf_dir).drop("seq"), raw_schema())
+    tables.export_csv(range_of("raw", aligned, RANGE_START, RANGE_END).orderBy(TIMESTAMP_COL), path)
+    return spark.read.schema(raw_schema()).option("pathGlobFilter", "part-*").csv(path)
+
+
+@register("stream_ingest")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1-ST3, ST6, K4, K5: the report log through the stream's batches.
+
+    Two batches by the parity of the arrival number, a compaction, and the last
+    batch replayed after it was folded.  The rows: what became of each report
+    (the stored reading, or why it was refused), the day rollups that the
+    stream keeps by merging states, and the newest message of every channel."""
+    base = _folder(spark, "stream")
+    fixtures.report_log(spark, sf_dir).write.partitionBy("part").json(f"{base}/source")
+    listed = f"{base}/stations"
+    (fixtures.stations(spark, sf_dir).repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal")
+     .drop("ordinal").write.json(listed))
+    batches = [read_reports(spark, f"{base}/source/part={part}") for part in (0, 1)]
+    for batch_id, batch in enumerate(batches):
+        stream.process_batch(spark, batch, batch_id, base, listed, fixtures.PEPPER)
+    stream.compact(spark, base)
+    stream.process_batch(spark, batches[1], 1, base, listed, fixtures.PEPPER)
+
+    shape = {"kind": "string", "event_id": "bigint", STATION_COL: "string", TIMESTAMP_COL: "timestamp_ntz",
+             "tempf": "double", "reject_reason": "string", "batch": "bigint", "sample_count": "bigint",
+             **{stat_column(f, s): "double" for f in ("tempf", "thi") for s in ROLLUP_STATS}}
+
+    def rows(df: DataFrame, **columns: Column | str) -> DataFrame:
+        given = {k: F.col(c) if isinstance(c, str) else c for k, c in columns.items()}
+        return df.select(*[given.get(k, F.col(k) if k in df.columns else F.lit(None)).cast(t).alias(k)
+                           for k, t in shape.items()])
+    view = read_view(spark, base)
+    stored = rows(stream.current_raw(spark, view), kind=F.lit("stored"), event_id="seq")
+    refused = rows(stream.read_rejects(spark, base, view).drop("batch"), kind=F.lit("refused"),
+                   event_id=F.unix_micros(F.col("received_text").cast("timestamp")))
+    days = rows(round_stats(stream.current_rollup(spark, view, "1d")), kind=F.lit("1d"))
+    feed = rows(stream.latest_feed(spark, base, view), kind=F.concat(F.lit("feed "), "data_type"),
+                **{c: F.get_json_object("payload", f"$.{c}") for c in ("tempf", "sample_count", "tempf_max")})
+    return stored.unionByName(refused).unionByName(days).unionByName(feed)

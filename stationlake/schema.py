@@ -32,6 +32,8 @@ EXTRA_STRING_FIELDS: list[str] = ["model"]
 ROLLUP_STATS: tuple[str, ...] = ("avg", "min", "max", "std", "mode")
 # Rollup granularities and their bucket widths.
 INTERVALS: dict[str, str] = {"1m": "1 minute", "1h": "1 hour", "1d": "1 day"}
+# Rollup states kept beside the tables, by granularity.
+STATE_TABLES: dict[str, str] = {"state_1h": "1h", "state_1d": "1d"}
 # Table names of the store.
 TABLE_NAMES: tuple[str, ...] = ("raw", "1m", "1h", "1d")
 # ---------------------------------------------------------------------------
@@ -76,10 +78,21 @@ def rollup_schema(timestamp_type: T.DataType | None = None,
     return schema
 
 
+def state_schema(timestamp_type: T.DataType | None = None) -> T.StructType:
+    """Rollup state: one row per (station, bucket, field number)."""
+    value = T.StructType([T.StructField("v", T.DoubleType()), T.StructField("n", T.LongType())])
+    return T.StructType([
+        T.StructField(TIMESTAMP_COL, timestamp_type or T.TimestampNTZType()), T.StructField(STATION_COL, T.StringType()),
+        T.StructField("fid", T.ShortType()), T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()),
+        T.StructField("m2", T.DoubleType()), T.StructField("values", T.ArrayType(value))])
+
+
 def schema_for(table: str, timestamp_type: T.DataType | None = None) -> T.StructType:
     """Schema of a store table by name (S6); unknown names are an error."""
     if table == "raw":
         return raw_schema(timestamp_type)
     if table in INTERVALS:
         return rollup_schema(timestamp_type)
+    if table in STATE_TABLES:
+        return state_schema(timestamp_type)
     raise ValueError(f"unknown table {table!r}; expected one of {list(TABLE_NAMES)}")

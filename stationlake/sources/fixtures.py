@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationlake.functions.text import with_form
 from stationlake.operators.metric import to_metric
 from stationlake.schema import NUMERIC_PAYLOAD_FIELDS, STATION_COL, TIMESTAMP_COL
 
@@ -184,6 +185,18 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(arrival.alias("event_id"), arrival.alias("received"), F.concat_ws("&", *pairs).alias("body"))
 
 
+def report_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports as a capture log (S1 shape), with ``part``: the parity of
+    the arrival number, by which tests make batches.  The capture time is
+    the arrival number in microseconds."""
+    rep = with_form(reports(spark, sf_dir))
+    at = F.timestamp_add("MICROSECOND", F.col("received"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return rep.select(
+        F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")).alias("timestamp"),
+        F.lit("10.0.0.2").alias("client_ip"), F.lit("POST").alias("method"), F.lit("/data/report/").alias("path"),
+        F.col("form").alias("body"), (F.col("received") % 2).cast("int").alias("part"))
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allow-list entries (S7 shape) plus the registration-time digest.
 
