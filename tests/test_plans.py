@@ -32,8 +32,8 @@ def test_rollup_scans_only_needed_columns(spark, name):
     assert schemas == {"struct<ts:timestamp_ntz,user_id:bigint,value:double,props:string>"}
 
 
-@pytest.mark.parametrize("name,scans", [("scope_visible", 4), ("feed_latest_bucket", 2), ("upsert_latest_wins", 2),
-                                        ("latest_reading", 2), ("rollup_1h", 2)])
+@pytest.mark.parametrize("name,scans", [("scope_visible", 4), ("feed_latest_bucket", 2), ("upsert_latest_wins", 1),
+                                        ("latest_reading", 1), ("ingest_accepted", 2), ("rollup_1h", 2)])
 def test_scans_planned(spark, name, scans):
     """Without relying on the reuse of equal exchanges."""
     plan = plan_of(entry.queries()[name](spark, SF0001))
@@ -41,9 +41,11 @@ def test_scans_planned(spark, name, scans):
 
 
 @pytest.mark.parametrize("name", ["upsert_latest_wins", "latest_reading", "scan_station"])
-def test_winners_are_found_by_hash_aggregates(spark, name):
+def test_winners_take_one_shuffle_and_a_limit_before_it(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF0001))
-    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "Join" not in plan
+    partial = plan.index("WindowGroupLimit", plan.index("Exchange"))  # below the exchange
+    assert "Partial" in plan[partial:partial + 300]
 
 
 def test_store_range_read_is_pushed_down(spark, scratch):
