@@ -16,7 +16,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(REGISTRY))
+# It runs the whole stream while it is built; the tables that it reads then say nothing about the batches' plans.
+STREAM = {"stream_ingest"}
+
+
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - STREAM))
 def test_no_python_no_cartesian(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF0001))
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas", plan)
