@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationlake.functions.times import bucket, known_interval
+from stationlake.operators.codes import coded, decoded
 from stationlake.schema import (AGGREGATABLE_FIELDS, INTERVALS, ROLLUP_STATS, STATION_COL, TIMESTAMP_COL,
                                 stat_column)
 
@@ -80,9 +81,8 @@ def modes_long(bucketed: DataFrame, fields: list[str]) -> DataFrame:
     smallest value, i.e. the field's ``_min``; ``rollup`` fills it from
     there.  For continuous readings this drops most rows before the pick.
 
-    The long rows repeat the station key once per field value.  Stored
-    files are sorted by station, so rows of one station leave a task
-    together and block compression of the shuffle absorbs most of that.
+    The long rows repeat the station key once per field value: with a
+    station dictionary (``codes`` of `rollup`) that is a number.
     """
     keys = [STATION_COL, TIMESTAMP_COL]
     return _most_frequent(_value_counts(bucketed, fields), keys, fields)
@@ -115,15 +115,19 @@ def _ordered(fields: list[str]) -> list[str]:
 
 
 def rollup(df: DataFrame, interval: str, fields: list[str] | None = None,
-           mode_strategy: str = "split") -> DataFrame:
+           mode_strategy: str = "split", codes: DataFrame | None = None) -> DataFrame:
     """One row per (station, bucket) with ``sample_count`` and 5 stats.
 
     Fields missing from ``df`` are skipped (the writer null-fills them);
     an unknown interval is an error; empty input gives an empty frame.
+    With ``codes``, a station dictionary that holds every station of ``df``,
+    the work is done on the stations' numbers; the rows are the same.
     """
     known_interval(interval)
     if mode_strategy not in MODE_STRATEGIES:
         raise ValueError(f"mode_strategy must be one of {MODE_STRATEGIES}")
+    if codes is not None:
+        return decoded(rollup(coded(df, codes), interval, fields, mode_strategy), codes)
     fields = present_fields(df, fields)
     b = _bucketed(df, interval, fields)
     keys = [STATION_COL, TIMESTAMP_COL]
@@ -144,7 +148,8 @@ def _dealt(df: DataFrame, intervals: list[str], *others: Column | str) -> DataFr
     return df.select(STATION_COL, F.inline(buckets), *others)
 
 
-def rollup_all(df: DataFrame, intervals: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
+def rollup_all(df: DataFrame, intervals: list[str] | None = None, fields: list[str] | None = None,
+               codes: DataFrame | None = None) -> DataFrame:
     """The rollups of several granularities in one frame, named by its
     first column ``granularity``; each granularity's rows equal `rollup`'s.
 
@@ -154,7 +159,10 @@ def rollup_all(df: DataFrame, intervals: list[str] | None = None, fields: list[s
     finest buckets (combined before their shuffle), and those counts are
     brought together by (station, coarsest bucket, field, value): at most one
     row per finest bucket and key, from which every coarser count is a sum.
+    ``codes`` as in `rollup`.
     """
+    if codes is not None:
+        return decoded(rollup_all(coded(df, codes), intervals, fields), codes)
     wanted = {known_interval(i) for i in (intervals if intervals is not None else INTERVALS)}
     intervals = [i for i in INTERVALS if i in wanted]  # finest first
     if not intervals:

@@ -386,6 +386,10 @@ ORACLE: dict[str, str] = {
 }
 
 ORACLE |= {
+    "rollup_coded": f"""SELECT q.*, c.station_code FROM ({rollup_sql("1d", WIDE_SQL, fields=AGGREGATABLE_FIELDS)}) q
+JOIN (SELECT PASSKEY, CAST(row_number() OVER (ORDER BY late, PASSKEY) - 1 AS INTEGER) AS station_code
+      FROM (SELECT PASSKEY, min("timestamp") >= TIMESTAMP '2024-01-15 00:00:00' AS late FROM ({WIDE_SQL}) w
+            GROUP BY PASSKEY) s) c ON q.PASSKEY = c.PASSKEY""",
     "rollup_merged": rollup_sql("1d", CORRECTED_SQL),
     "union_supertypes": f"""SELECT seq, CASE WHEN old THEN seq::VARCHAR ELSE 'n' || seq::VARCHAR END AS code,
         CASE WHEN old THEN date_trunc('day', "timestamp")::TIMESTAMP ELSE "timestamp" END AS day, humidity,

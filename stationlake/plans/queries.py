@@ -98,6 +98,19 @@ def rollup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS))
 
 
+@register("rollup_coded")
+def rollup_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide day rollups over station numbers, with the numbers.
+
+    The dictionary is written for the early readings' stations and extended by
+    the others'; the rollups go by the numbers and get their ids back."""
+    aligned = ingest.align(fixtures.wide_readings(spark, sf_dir).drop("seq"), raw_schema())
+    base = _folder(spark, "codes")
+    tables.extend_codes(spark, base, aligned.filter(F.col(TIMESTAMP_COL) < F.lit(EVOLVED_FROM).cast("timestamp_ntz")))
+    codes = tables.extend_codes(spark, base, aligned)
+    return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS, codes=codes)).join(codes, STATION_COL)
+
+
 @register("rollup_merged")
 def rollup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2, A9: day rollups after corrections, by merging states.

@@ -12,6 +12,7 @@ from stationlake.functions.units import FIELD_MAPS
 
 TIMESTAMP_COL = "timestamp"
 STATION_COL = "PASSKEY"
+STATION_CODE = "station_code"
 
 # --- Fixed values: must equal the station report format -------------------
 # Payload fields in report order, less `dateutc` (which becomes `timestamp`).
@@ -87,6 +88,11 @@ def state_schema(timestamp_type: T.DataType | None = None) -> T.StructType:
         T.StructField("m2", T.DoubleType()), T.StructField("values", T.ArrayType(value))])
 
 
+def codes_schema() -> T.StructType:
+    """Station dictionary: one row per station."""
+    return T.StructType([T.StructField(STATION_COL, T.StringType()), T.StructField(STATION_CODE, T.IntegerType())])
+
+
 def schema_for(table: str, timestamp_type: T.DataType | None = None) -> T.StructType:
     """Schema of a store table by name (S6); unknown names are an error."""
     if table == "raw":
