@@ -19,7 +19,11 @@ default ("split") strategy therefore computes it in long form:
 and joins the result to the other statistics on (station, bucket).  Both
 sides come out hash-partitioned on those keys.  ``mode_strategy="inline"``
 uses ``F.mode`` inside the single aggregation, which is cheaper when every
-bucket is known to be small.
+bucket is known to be small.  ``mode_strategy="bounded"`` summarises each
+field of a bucket in bounded space (`stationlake.operators.heavy_hitters`) and
+goes the way above only with what the summaries leave open.  It has to know
+what that is, so the summaries are made, and their answers staged below the
+checkpoint folder, when `rollup` is called.
 
 `rollup_all` makes several granularities from two reads of the input: the
 other statistics deal each row to its bucket of every granularity, and the
@@ -33,10 +37,12 @@ from pyspark.sql import functions as F
 
 from stationlake.functions.times import bucket, known_interval
 from stationlake.operators.codes import coded, decoded
+from stationlake.operators.heavy_hitters import TRACKED, open_values, settled
 from stationlake.schema import (AGGREGATABLE_FIELDS, INTERVALS, ROLLUP_STATS, STATION_COL, TIMESTAMP_COL,
                                 stat_column)
+from stationlake.session import staged
 
-MODE_STRATEGIES = ("split", "inline")
+MODE_STRATEGIES = ("split", "inline", "bounded")
 
 
 def present_fields(df: DataFrame, fields: list[str] | None = None) -> list[str]:
@@ -104,6 +110,24 @@ def _most_frequent(counts: DataFrame, keys: list[str], fields: list[str]) -> Dat
         F.expr(f"max_by(v, CASE WHEN fid = {i} THEN _rank END) AS `_mode_{f}`") for i, f in enumerate(fields)])
 
 
+def modes_bounded(rows: DataFrame, keys: list[str], fields: list[str], tracked: int = TRACKED) -> DataFrame:
+    """One row per ``keys`` with the mode of every field, null only where the
+    field's minimum is the mode.
+
+    Runs a job: summaries settle most modes, and their answers are staged (a
+    row per bucket).  If none is open, ``rows`` is not read again; otherwise
+    only the open fields of the open buckets are exploded and counted.
+    """
+    judged = staged(settled(rows, keys, fields, tracked), "modes")
+    modes = judged.drop("_open")
+    if judged.filter(F.size("_open") > 0).isEmpty():
+        return modes
+    counts = (open_values(rows, judged, keys, fields).groupBy(*keys, "fid", "v").agg(F.count(F.lit(1)).alias("n")))
+    exact = _most_frequent(counts, keys, fields).withColumnsRenamed({f"_mode_{f}": f"_exact_{f}" for f in fields})
+    return modes.join(exact, keys, "left").select(
+        *keys, *[F.expr(f"coalesce(`_mode_{f}`, `_exact_{f}`) AS `_mode_{f}`") for f in fields])
+
+
 def _with_modes(stats: DataFrame, modes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """A field without a repeated value has its minimum as mode."""
     filled = [F.expr(f"coalesce(`_mode_{f}`, `{stat_column(f, 'min')}`)").alias(stat_column(f, "mode")) for f in fields]
@@ -136,7 +160,7 @@ def rollup(df: DataFrame, interval: str, fields: list[str] | None = None,
         out = b.groupBy(*keys).agg(count, *stat_exprs(fields, with_mode=True))
     else:
         stats = b.groupBy(*keys).agg(count, *stat_exprs(fields, with_mode=False))
-        modes = modes_long(b, fields)
+        modes = modes_bounded(b, keys, fields) if mode_strategy == "bounded" else modes_long(b, fields)
         out = _with_modes(stats, modes, keys, fields)
     return out.select(*_ordered(fields))
 
@@ -149,7 +173,7 @@ def _dealt(df: DataFrame, intervals: list[str], *others: Column | str) -> DataFr
 
 
 def rollup_all(df: DataFrame, intervals: list[str] | None = None, fields: list[str] | None = None,
-               codes: DataFrame | None = None) -> DataFrame:
+               codes: DataFrame | None = None, mode_strategy: str = "split") -> DataFrame:
     """The rollups of several granularities in one frame, named by its
     first column ``granularity``; each granularity's rows equal `rollup`'s.
 
@@ -159,19 +183,25 @@ def rollup_all(df: DataFrame, intervals: list[str] | None = None, fields: list[s
     finest buckets (combined before their shuffle), and those counts are
     brought together by (station, coarsest bucket, field, value): at most one
     row per finest bucket and key, from which every coarser count is a sum.
-    ``codes`` as in `rollup`.
+    ``codes`` as in `rollup`.  With ``mode_strategy="bounded"`` a row is dealt
+    to the summaries of its buckets as well, and only values of open ones are
+    counted.
     """
+    if mode_strategy not in ("split", "bounded"):
+        raise ValueError("mode_strategy must be split or bounded")
     if codes is not None:
-        return decoded(rollup_all(coded(df, codes), intervals, fields), codes)
+        return decoded(rollup_all(coded(df, codes), intervals, fields, mode_strategy=mode_strategy), codes)
     wanted = {known_interval(i) for i in (intervals if intervals is not None else INTERVALS)}
     intervals = [i for i in INTERVALS if i in wanted]  # finest first
     if not intervals:
         raise ValueError("no granularity was asked for")
     fields = present_fields(df, fields)
     keys = ["granularity", STATION_COL, TIMESTAMP_COL]
-    out = (_dealt(df, intervals, *_doubles(fields)).groupBy(*keys)
-           .agg(F.count(F.lit(1)).alias("sample_count"), *stat_exprs(fields, with_mode=False)))
-    if fields:
+    dealt = _dealt(df, intervals, *_doubles(fields))
+    out = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_count"), *stat_exprs(fields, with_mode=False))
+    if fields and mode_strategy == "bounded":
+        out = _with_modes(out, modes_bounded(dealt, keys, fields), keys, fields)
+    elif fields:
         counts = _value_counts(_bucketed(df, intervals[0], fields), fields)
         if len(intervals) > 1:
             # The hash of the value stands for it in the shuffle: grouping

@@ -268,6 +268,7 @@ ORACLE: dict[str, str] = {
     "rollup_1h": rollup_sql("1h"),
     "rollup_1d": rollup_sql("1d"),
     "rollup_wide": rollup_sql("1d", WIDE_SQL, fields=AGGREGATABLE_FIELDS),
+    "rollup_bounded": rollup_sql("1d", WIDE_SQL, fields=AGGREGATABLE_FIELDS),
     "form_decode": f"""SELECT event_id, PASSKEY, stationtype, dateutc, tempf_text AS tempf, k AS humidity,
         model, freq, uv_text AS uv,
         CAST(28 - (CASE WHEN PASSKEY IS NULL THEN 1 ELSE 0 END)

@@ -111,6 +111,14 @@ def rollup_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS, codes=codes)).join(codes, STATION_COL)
 
 
+@register("rollup_bounded")
+def rollup_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide day rollups with modes from bounded summaries; only what
+    their bounds leave open is counted value by value."""
+    aligned = ingest.align(fixtures.wide_readings(spark, sf_dir).drop("seq"), raw_schema())
+    return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS, mode_strategy="bounded"))
+
+
 @register("rollup_merged")
 def rollup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2, A9: day rollups after corrections, by merging states.
