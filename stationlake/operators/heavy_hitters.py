@@ -16,7 +16,7 @@ The bounds settle the mode of a bucket where
 A summary that has just given up all its counters is taken for an empty one
 when summaries merge, and its values are then missing from the total.  So each
 total is held against a plain count; where they differ, nothing is settled, nor
-where the list of names is full.
+where more values are followed than named.
 
 Everything else is left open and counted exactly, those fields of those
 buckets alone.  The rows of a hot bucket are summarised by each task, so a
@@ -28,12 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 24 bytes from the ninth on in the sketch's published byte format.
-#: In them the number of followed values (an int) begins at 0, the number of all
-#: values at 8 and the slack at 16 (two longs), little-endian; an empty summary
-#: is shorter than that.
-HEAD_AT, HEAD_BYTES = 9, 24
-FOLLOWED, TOTAL, SLACK = (0, 4), (8, 8), (16, 8)
+#: In the sketch's published byte format the number of all values
+#: begins at byte 17 and the slack at byte 25, little-endian longs; an empty
+#: summary is shorter than that.
+TOTAL, SLACK = 17, 25
 
 #: A hash table of 128 places that is filled to three quarters.  Three quarters
 #: of a power of two let a summary name all that it follows; other sizes settle
@@ -41,11 +39,13 @@ FOLLOWED, TOTAL, SLACK = (0, 4), (8, 8), (16, 8)
 TRACKED = 96
 
 
-def _number(place: tuple[int, int]) -> str:
-    """The number at ``place`` of a field's head, zero for none."""
-    first, size = place
-    pairs = ", ".join(f"substring(`_head_{{f}}`, {2 * b + 1}, 2)" for b in reversed(range(first, first + size)))
-    return f"coalesce(cast(conv(concat({pairs}), 16, 10) AS bigint), 0L)"
+def _bytes(at: int, name: str) -> str:
+    return f"hex(substring(`_sum_{{f}}`.sketch, {at}, 8)) AS `{name}_{{f}}`"
+
+
+def _number(hexed: str) -> str:
+    """The little-endian long that ``hexed`` names: its bytes turned round."""
+    return f"coalesce(cast(conv(regexp_replace(reverse({hexed}), '(.)(.)', '$2$1'), 16, 10) AS bigint), 0L)"
 
 
 def summarised(rows: DataFrame, keys: list[str], fields: list[str], tracked: int = TRACKED) -> DataFrame:
@@ -64,18 +64,17 @@ def settled(rows: DataFrame, keys: list[str], fields: list[str], tracked: int =
     def each(*made: str) -> list[Column]:
         return [F.expr(m.replace("{f}", f)) for m in made for f in fields]
 
-    read = summarised(rows, keys, fields, tracked).select(
+    best = summarised(rows, keys, fields, tracked).select(
         *keys, *each(f"approx_top_k_estimate(`_sum_{{f}}`, {tracked}) AS `_seen_{{f}}`", "`_n_{f}`",
-                     f"hex(substring(`_sum_{{f}}`.sketch, {HEAD_AT}, {HEAD_BYTES})) AS `_head_{{f}}`"))
-    best = read.select(
-        *keys, *each("`_seen_{f}`", "array_max(transform(`_seen_{f}`, x -> struct(x.count AS n, -x.item AS v))) AS `_best_{f}`",
-                     _number(SLACK) + " AS `_slack_{f}`",
-                     f"{_number(TOTAL)} = `_n_{{f}}` AS `_whole_{{f}}`", f"{_number(FOLLOWED)} = size(`_seen_{{f}}`) AS `_all_{{f}}`"))
-    apart = (f"size(`_seen_{{f}}`) < {tracked} AND `_best_{{f}}`.n > 3 * `_slack_{{f}}` AND "
-             "size(filter(`_seen_{f}`, x -> x.count >= `_best_{f}`.n - `_slack_{f}`)) = 1")
+                     _bytes(TOTAL, "_total"), _bytes(SLACK, "_slack"))).select(
+        "*", *each("array_max(transform(`_seen_{f}`, x -> struct(x.count AS n, -x.item AS v))) AS `_best_{f}`"))
+    exact = "aggregate(`_seen_{f}`, 0L, (a, x) -> a + x.count) = `_n_{f}`"
+    apart = (f"size(`_seen_{{f}}`) < {tracked} AND {_number('`_total_{f}`')} = `_n_{{f}}` AND "
+             f"exists(array({_number('`_slack_{f}`')}), s -> `_best_{{f}}`.n > 3 * s AND "
+             "size(filter(`_seen_{f}`, x -> x.count >= `_best_{f}`.n - s)) = 1)")
     judged = best.select(
         *keys, *each("-`_best_{f}`.v AS `_top_{f}`",
-                     f"`_whole_{{f}}` AND if(`_slack_{{f}}` = 0, `_all_{{f}}`, coalesce({apart}, false)) AS `_sure_{{f}}`"))
+                     f"coalesce(if(`_slack_{{f}}` IN ('', '{'0' * 16}'), {exact}, {apart}), false) AS `_sure_{{f}}`"))
     left = ", ".join(f"if(`_sure_{f}`, NULL, {i}S)" for i, f in enumerate(fields))
     return judged.select(*keys, *each("if(`_sure_{f}`, `_top_{f}`, NULL) AS `_mode_{f}`"),
                          F.expr(f"array_compact(array({left})) AS _open"))
