@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 #: summary is shorter than that.
 TOTAL, SLACK = 17, 25
 
-#: A hash table of 128 places that is filled to three quarters.  Three quarters
-#: of a power of two let a summary name all that it follows; other sizes settle
-#: less, and the modes stay the same.
-TRACKED = 96
+#: Three quarters of a hash table of 512 places, which grows with the values that a
+#: bucket has.  Three quarters of a power of two let a summary name all that it
+#: follows; other sizes settle less, and the modes stay the same.
+TRACKED = 384
 
 
 def _bytes(at: int, name: str) -> str:
