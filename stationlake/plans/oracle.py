@@ -339,10 +339,13 @@ ORACLE: dict[str, str] = {
         WHERE r.PASSKEY IS NOT NULL AND r.user_id NOT IN (SELECT user_id FROM ({ST}) s)""",
     "scope_migrate": MIGRATED,
     "scope_migrate_strict": f"""SELECT ordinal, title, weatherstations FROM ({MIGRATED}) m WHERE n_unresolved = 0""",
-    "scope_stations": f"""WITH res AS ({SCOPE_RES}), acc AS ({ACCEPTED})
-      SELECT DISTINCT res.user_id AS ordinal, acc.station_id AS PASSKEY, acc.event_id AS seq
-      FROM acc JOIN res ON res.v = '*' OR res.v = acc.station_id WHERE res.v <> '*' AND res.user_id IN (
-        SELECT user_id FROM res GROUP BY user_id HAVING count(DISTINCT v) = 1)""",
+    # Records with the wildcard see the same rows: the first of them has them, the others name it.
+    "scope_stations": f"""WITH res AS ({SCOPE_RES}), acc AS ({ACCEPTED}),
+      wild AS (SELECT user_id, min(user_id) OVER () AS first FROM (SELECT DISTINCT user_id FROM res WHERE v = '*') w0)
+      SELECT DISTINCT res.user_id AS ordinal, res.user_id AS same_as, acc.station_id AS PASSKEY, acc.event_id AS seq
+      FROM acc JOIN res ON res.v = acc.station_id WHERE res.user_id NOT IN (SELECT user_id FROM wild)
+      UNION ALL SELECT w.user_id, w.first, acc.station_id, acc.event_id FROM wild w JOIN acc ON w.user_id = w.first
+      UNION ALL SELECT user_id, first, NULL, NULL FROM wild WHERE user_id <> first""",
     "scope_visible": f"""WITH res AS ({SCOPE_RES}), acc AS ({ACCEPTED}),
       per_station AS (SELECT station_id, count(*) AS n FROM acc GROUP BY station_id),
       wild AS (SELECT DISTINCT user_id FROM res WHERE v = '*'),
