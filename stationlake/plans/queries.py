@@ -95,7 +95,7 @@ for _interval in ("1m", "1h", "1d"):
 def rollup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: all 38 fields x 5 stats (193 columns) over the aligned raw table."""
     aligned = ingest.align(fixtures.wide_readings(spark, sf_dir).drop("seq"), raw_schema())
-    return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS))
+    return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS, mode_strategy="gathered"))
 
 
 @register("rollup_coded")
@@ -108,7 +108,8 @@ def rollup_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _folder(spark, "codes")
     tables.extend_codes(spark, base, aligned.filter(F.col(TIMESTAMP_COL) < F.lit(EVOLVED_FROM).cast("timestamp_ntz")))
     codes = tables.extend_codes(spark, base, aligned)
-    return round_stats(rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS, codes=codes)).join(codes, STATION_COL)
+    rolled = rollup(aligned, "1d", fields=AGGREGATABLE_FIELDS, codes=codes, mode_strategy="gathered")
+    return round_stats(rolled).join(codes, STATION_COL)
 
 
 @register("rollup_bounded")
