@@ -141,3 +141,19 @@ def test_split_csv_and_station_id(spark):
     assert got[0] == ["a", "b", "c"] and got[1] == [] and got[2] is None
     ids = spark.createDataFrame([("*",), ("pbkdf2_sha256$1$ab$cd",), ("RAWKEY",)], "v string")
     assert [r["y"] for r in ids.select(is_station_id("v").alias("y")).collect()] == [True, True, False]
+
+
+CUT_BODIES = ["a=1&b=2", "", "&", "a", "a=", "=x", "a=1&&b=2", "a=1&a=2", "a%26b=1&c=%3D%26", "a%3Db=1", "x=%E2%82&y=%AC", "a=b=c&d",
+              "a+b=c+d&e=%41%4&f=%zz", "a=1&", "&a=1", "p=%&q=%2", "a\nb=c\nd&e=f\n", "a%62=1&ab=2", "a= x &b=é&c=€", None,
+              "a%&26=1", "a=%2&6=b", "a=1%3d2&c=1"]
+
+
+def test_bodies_decoded_as_a_whole_equal_those_by_pairs(spark):
+    df = spark.createDataFrame([(b,) for b in CUT_BODIES], "body string")
+    for r in with_form(df).withColumn("by_pair", decode_form("body")).collect():
+        assert (r["form"] and list(r["form"].items())) == (r["by_pair"] and list(r["by_pair"].items())), r["body"]
+
+
+def test_plain_bodies_are_decoded_once_not_pair_by_pair(spark):
+    plan = with_form(spark.createDataFrame([("a=1",)], "body string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE(body") < plan.index("lambdafunction")  # the check for a body that is cut whole
